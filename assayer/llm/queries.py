@@ -5,17 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from assayer.llm.common import load
+from assayer.llm.packing import pack
 from assayer.llm.simhash import simhash_components
 from assayer.llm.suffix_dedup import removed_spans
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_spans(load(spark, sf_dir, "documents")).drop("kept")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(load(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op7_packing, op9_simhash)}
 ORACLE: dict[str, str] = {}
