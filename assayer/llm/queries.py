@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from assayer.llm.common import load
+from assayer.llm.decontaminate import decontamination_report
+from assayer.llm.licenses import scan
 from assayer.llm.packing import pack
 from assayer.llm.simhash import simhash_components
 from assayer.llm.suffix_dedup import removed_spans
@@ -20,13 +22,21 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_spans(load(spark, sf_dir, "documents")).drop("kept")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination_report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(load(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op7_packing, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_decontamination, op7_packing, op8_licenses, op9_simhash)}
 ORACLE: dict[str, str] = {}
