@@ -25,8 +25,11 @@ from assayer.llm.common import keep, texts
 
 CAPACITY = 4096
 END_ID = 1
-#: Chunks of text that a generation of a worker's memory holds; nodes the search may open; fillings looked at around one piece.
-CHUNKS, NODES, FILLINGS = 250_000, 20_000, 64
+#: Chunks of text that a generation of a worker's memory holds.
+CHUNKS = 250_000
+#: Nodes the search may open, fillings it keeps around one piece, and steps it takes to enumerate them.  A dive takes at
+#: most one node for each length, so the budget lets the search finish some dives on any histogram.
+NODES, FILLINGS, STEPS = 3 * CAPACITY, 8, 160
 #: Pieces numbered by one task.
 SALT_ROWS = 50_000
 
@@ -184,7 +187,7 @@ def fillings(left: dict[int, int], order: list[int], largest: int, capacity: int
     def search(at: int, room: int, chosen: list[int]):
         nonlocal steps
         steps += 1
-        if steps > 40 * limit or len(found) >= limit:
+        if steps > STEPS or len(found) >= limit:
             return
         if room < floor or at == len(sizes):
             if room <= most_waste and _undominated(stock, sizes, chosen, room):
