@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from assayer.llm.common import load
 from assayer.llm.decontaminate import decontamination_report
+from assayer.llm.html_text import extract
 from assayer.llm.licenses import scan
 from assayer.llm.packing import pack
 from assayer.llm.simhash import simhash_components
@@ -38,5 +39,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_decontamination, op7_packing, op8_licenses, op9_simhash)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(load(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_decontamination, op7_packing, op8_licenses, op9_simhash, op10_html_extraction)}
 ORACLE: dict[str, str] = {}
