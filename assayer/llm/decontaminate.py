@@ -8,8 +8,9 @@ WINDOW aligned tokens (or the whole item, if shorter) agrees in at least 80 % of
 The seeds of the test set are broadcast only while they are few (their number is counted first); beyond that the join is
 by shuffle.  Texts themselves are never shuffled.
 
-Defined cases: null text is the empty text; tokens are lower-cased runs of letters and digits; items without tokens match
-nothing; an item shorter than the span is looked up with all its tokens; rows that share an id share its verdict; empty
+Defined cases: null text is the empty text; tokens are lower-cased runs of letters and digits; items of fewer than MIN_ITEM
+tokens are no passages and match nothing; one shorter than the span is looked up with all its tokens; rows that share an id share its verdict, rows without one are never
+found contaminated; empty
 tables give no hits; extra columns are ignored.
 """
 
@@ -25,7 +26,7 @@ from assayer.llm.common import keep
 #: Offsets that a mask keeps, in spans of at most SPAN tokens.
 MASKS = ((0, 1, 3, 4, 6), (0, 2, 3, 5, 7), (0, 1, 2, 5, 6))
 SPAN = 8
-WINDOW, SIMILARITY = 13, 0.8
+WINDOW, SIMILARITY, MIN_ITEM = 13, 0.8, 5
 #: Seeds that are broadcast at most: 16 bytes of key and value each and as much again for the table.
 BROADCAST_SEEDS = 500_000
 
@@ -51,21 +52,25 @@ def _positions(df: DataFrame, masks) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", masks=MASKS) -> DataFrame:
     """(doc_id, item_id, matched, compared): best aligned stretch of each contaminated document and item."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("item_tokens")).where("size(item_tokens) > 0")
+    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("item_tokens")).where(F.size("item_tokens") >= MIN_ITEM)
     items = items.withColumn("h", F.transform("item_tokens", lambda w: F.xxhash64(w)))
     short = [r[0] for r in items.where(F.size("h") < SPAN).select(F.size("h")).distinct().collect()]  # at most SPAN - 1 numbers
     every = [*masks, *(tuple(range(n)) for n in sorted(short))]
-    seeds = _positions(items, every).select("seed", "item_id", "item_tokens", F.col("at").alias("item_at"))
-    places = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("tokens")).where(F.size("tokens") >= min(len(m) if m in map(lambda n: tuple(range(n)), short) else max(m) + 1 for m in every))
-    places = _positions(places.withColumn("h", F.transform("tokens", lambda w: F.xxhash64(w))), every)
+    seeds = _positions(items.select("item_id", "h"), every).select("seed", "item_id", F.col("at").alias("item_at"))
+    words = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("tokens"))
+    places = _positions(words.select("doc_id", F.transform("tokens", lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") >= min(max(m) + 1 for m in every)), every).select("doc_id", "at", "seed")
     few = seeds.count() <= BROADCAST_SEEDS
     hits = places.join(F.broadcast(seeds) if few else seeds.hint("merge"), "seed")
+    # a place to look at for each document, item and diagonal; texts come back for those alone
+    looks = keep(hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct(), "looks")
+    looks = looks.join(items.select("item_id", "item_tokens"), "item_id")
+    pairs = words.where("doc_id is not null").join(looks, "doc_id")
     # the item's tokens against those of the text on the same diagonal
-    diagonal = F.col("at") - F.col("item_at")
+    diagonal = F.col("diagonal")
     first = F.greatest(diagonal, F.lit(0))
     skip = F.greatest(-diagonal, F.lit(0))
     agree = F.zip_with(F.slice("tokens", first + 1, F.size("item_tokens") - skip), F.slice("item_tokens", skip + 1, F.size("item_tokens")), lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
-    aligned = hits.select("doc_id", "item_id", F.size("item_tokens").alias("item_size"), diagonal.alias("diagonal"), agree.alias("agree")).distinct()
+    aligned = pairs.select("doc_id", "item_id", F.size("item_tokens").alias("item_size"), agree.alias("agree"))
     length = F.least(F.lit(WINDOW), F.col("item_size"))
     starts = F.when(F.size("agree") >= length, F.sequence(F.lit(1), F.size("agree") - length + 1)).otherwise(F.array().cast("array<int>"))
     best = F.array_max(F.transform(starts, lambda s: F.aggregate(F.slice("agree", s, length), F.lit(0), lambda a, b: a + b)))
@@ -81,6 +86,6 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that share no passage with the benchmark; rows without an id are kept unless their own text leaks."""
+    """The rows of docs that share no passage with the benchmark; rows without an id are kept."""
     leaks = keep(contaminated(docs, benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks.withColumnRenamed("doc_id", "leak_id"), F.col("doc_id").eqNullSafe(F.col("leak_id")), "left_anti")
+    return docs.join(leaks.withColumnRenamed("doc_id", "leak_id"), F.col("doc_id") == F.col("leak_id"), "left_anti")

@@ -35,44 +35,49 @@ NOTICES = (
     ("mpl-2.0", "mozilla public license", "subject to the terms of the mozilla public license version 2 0"),
     ("proprietary", "all rights reserved", "copyright all rights reserved"),
 )
+#: Words of the notices and phrases that any text has; they are compared where a rarer word leads to them, never looked up.
+COMMON = frozenset("a all and any are by for free forms from in is license of or person rights terms the this to under use version with without work 0 1 2 3 4".split())
 #: Rarest licence words of a file that are looked up; postings that must agree on a place.
-RARE_WORDS, AGREE = 24, 2
+RARE_WORDS, AGREE = 24, 1
 
 
 def postings() -> list[tuple[str, str, int, float, int]]:
-    """(word, label, position, idf, words of the notice)."""
+    """(word, label, position, idf, rare words of the notice), for every word that is not common."""
     seen: dict[str, set[str]] = {}
     for label, _, notice in NOTICES:
-        for w in notice.split():
+        for w in set(notice.split()) - COMMON:
             seen.setdefault(w, set()).add(label)
     idf = {w: round(math.log(1 + len(NOTICES) / len(s)), 6) for w, s in seen.items()}
-    return [(w, label, k, idf[w], len(notice.split())) for label, _, notice in NOTICES for k, w in enumerate(notice.split())]
+    return [(w, label, k, idf[w], sum(x not in COMMON for x in notice.split())) for label, _, notice in NOTICES for k, w in enumerate(notice.split()) if w not in COMMON]
 
 
-def phrase_words() -> list[tuple[str, str, str, int, int]]:
-    """(word, phrase, kind and label, position, words of the phrase), for counted and mandatory phrases."""
-    rows = [(w, p, f"base:{label}", k, len(p.split())) for p, label in PHRASES.items() for k, w in enumerate(p.split())]
-    return rows + [(w, p, f"key:{label}", k, len(p.split())) for label, p, _ in NOTICES for k, w in enumerate(p.split())]
+def phrases() -> list[tuple[str, list[str], int]]:
+    """(mark, words, place of the rare word that leads to it), for counted and mandatory phrases."""
+    every = [(f"base:{label}", p.split()) for p, label in PHRASES.items()] + [(f"key:{label}", p.split()) for label, p, _ in NOTICES]
+    lead = lambda words: next((k for k, w in enumerate(words) if w not in COMMON), words.index("reserved") if "reserved" in words else 0)
+    return [(mark, words, lead(words)) for mark, words in every]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = docs.sparkSession
-    vocabulary = sorted({r[0] for r in postings()} | {r[0] for r in phrase_words()})
+    vocabulary = sorted({r[0] for r in postings()} | {words[k] for _, words, k in phrases()})
     low = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     split = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.split(low, SEPARATORS).alias("words"))
     sized = split.select("doc_id", "row", "words", F.size("words").alias("n"), (F.get("words", F.lit(0)) == "").cast("int").alias("lead"), (F.element_at("words", -1) == "").cast("int").alias("tail"))
-    every = sized.select("doc_id", "row", "n", "lead", "tail", F.posexplode("words").alias("pos", "word"))
-    # licence words, and the last place of every file, which tells its number of words
-    met = keep(every.where(F.col("word").isin(vocabulary) | (F.col("pos") == F.col("n") - 1)).select(
+    every = sized.select("doc_id", "row", "n", "lead", "tail", "words", F.posexplode("words").alias("pos", "word"))
+    is_last = F.col("pos") == F.col("n") - 1
+    # a phrase stands where its words surround its rare word
+    starts = [F.when((F.col("word") == words[k]) & F.forall(F.array(*(F.get("words", F.col("pos") + (i - k)) == w for i, w in enumerate(words))), lambda x: F.coalesce(x, F.lit(False))), F.struct(F.lit(mark).alias("mark"), (F.col("pos") - F.col("lead") - k).cast("long").alias("start"))) for mark, words, k in phrases()]
+    # rare licence words, and the last place of every file, which tells its number of words
+    met = keep(every.where(F.col("word").isin(vocabulary) | is_last).select(
         "doc_id", "row", F.greatest(F.col("n") - F.col("lead") - F.col("tail"), F.lit(0)).cast("long").alias("n_words"),
-        (F.col("pos") == F.col("n") - 1).alias("is_last"), (F.col("pos") - F.col("lead")).cast("long").alias("pos"), "word"), "licence-words")
+        is_last.alias("is_last"), (F.col("pos") - F.col("lead")).cast("long").alias("pos"), "word", F.filter(F.array(*starts), lambda x: x.isNotNull()).alias("places")), "licence-words")
     files = met.where("is_last").select("row", "doc_id", "n_words")
     hits = met.where(F.col("word").isin(vocabulary)).select("row", "pos", "word")
     # the index: a fixed number of rows, from the constants above
-    phrases = F.broadcast(spark.createDataFrame(phrase_words(), "word string, phrase string, mark string, at int, size int"))
     index = F.broadcast(spark.createDataFrame(postings(), "word string, label string, at int, idf double, size int"))
-    places = hits.join(phrases, "word").groupBy("row", "mark", "size", (F.col("pos") - F.col("at")).alias("start")).agg(F.countDistinct("at").alias("k")).where("k = size").select("row", "mark", "start")
+    places = met.where("size(places) > 0").select("row", F.explode("places").alias("p")).select("row", "p.mark", "p.start")
     base = places.where("mark like 'base:%'").groupBy("row").agg(F.count("*").alias("n_base"), F.min("start").alias("first_word"), F.max("start").alias("last_word"), F.collect_set(F.substring("mark", 6, 100)).alias("base"))
     keys = places.where("mark like 'key:%'").select("row", F.substring("mark", 5, 100).alias("label")).distinct()
     rare = hits.join(index.select("word", "idf").distinct(), "word").select("row", "word", "idf").distinct()
