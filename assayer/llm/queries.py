@@ -9,8 +9,12 @@ from assayer.llm.decontaminate import decontamination_report
 from assayer.llm.html_text import extract
 from assayer.llm.licenses import scan
 from assayer.llm.packing import pack
+from assayer.llm.quality import weigh
 from assayer.llm.simhash import simhash_components
 from assayer.llm.suffix_dedup import removed_spans
+from assayer.llm.toxicity import classify
+from assayer.llm.warc import damaged, fixity
+from assayer.llm.webp import read_features, store
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -19,14 +23,31 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_spans(load(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weigh(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op5_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages")
+    return fixity(pages, damaged(pages))
+
+
+def op6_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_features(store(load(spark, sf_dir, "documents")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -43,5 +64,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(load(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_decontamination, op7_packing, op8_licenses, op9_simhash, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_quality, op4_decontamination, op5_merkle_fixity, op6_webp, op7_packing, op8_licenses, op9_simhash, op10_html_extraction)}
 ORACLE: dict[str, str] = {}

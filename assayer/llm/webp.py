@@ -51,27 +51,37 @@ class Bits:
 
 
 class Prefix:
-    """A prefix code: table of all its longest-code bit patterns."""
-
-    def __init__(self, lengths: list[int]):
-        used = [(n, s) for s, n in enumerate(lengths) if n]
-        self.only = used[0][1] if len(used) == 1 else None
-        if not used:
-            self.only = 0
-        self.bits = 0 if self.only is not None else max(n for n, _ in used)
-        self.lengths = lengths
-        if self.only is None:
-            if sum(1 << (self.bits - n) for n, _ in used) != 1 << self.bits:
-                raise ValueError("a prefix code is not complete")
-            self.table: list[tuple[int, int]] = [(0, 0)] * (1 << self.bits)
+    """A prefix code: table of all its longest-code bit patterns, built when a symbol is first read by it."""
+
+    def __init__(self, lengths):
+        self.lengths = np.asarray(lengths, np.uint8)
+        self.used = np.flatnonzero(self.lengths)
+        self.only = int(self.used[0]) if len(self.used) == 1 else 0 if not len(self.used) else None
+        self.bits = 0 if self.only is not None else int(self.lengths.max())
+        if self.only is None and int((1 << (self.bits - self.lengths[self.used].astype(np.int64))).sum()) != 1 << self.bits:
+            raise ValueError("a prefix code is not complete")
+        self._table = None
+
+    @property
+    def table(self) -> list[tuple[int, int]]:
+        if self._table is None:
+            self._table = [(0, 0)] * (1 << self.bits)
             code, last = 0, 0
-            for n, s in sorted(used):
+            for n, s in sorted((int(self.lengths[s]), int(s)) for s in self.used):
                 code <<= n - last
                 last = n
-                turned = int(format(code, f"0{n}b")[::-1], 2)
-                for k in range(turned, 1 << self.bits, 1 << n):
-                    self.table[k] = (n, s)
+                for k in range(int(format(code, f"0{n}b")[::-1], 2), 1 << self.bits, 1 << n):
+                    self._table[k] = (n, s)
                 code += 1
+        return self._table
+
+    def flat(self) -> np.ndarray | None:
+        """Symbol of each bit pattern, if all codes have one length."""
+        if self.only is not None:
+            return np.array([self.only], np.uint32)
+        if (self.lengths[self.used] != self.bits).any():
+            return None
+        return self.used.astype(np.uint32)[_turned(self.bits)]
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
@@ -83,6 +93,20 @@ class Prefix:
         return s
 
 
+_TURNED: dict[int, np.ndarray] = {}
+
+
+def _turned(n: int) -> np.ndarray:
+    """All numbers of n bits with their bits in reverse."""
+    if n not in _TURNED:
+        code = np.arange(1 << n, dtype=np.uint16)
+        turned = np.zeros(1 << n, np.uint16)
+        for i in range(n):
+            turned |= ((code >> np.uint16(i)) & 1) << np.uint16(n - 1 - i)
+        _TURNED[n] = turned
+    return _TURNED[n]
+
+
 def _read_prefix(bits: Bits, size: int) -> Prefix:
     lengths = [0] * size
     if bits.read(1):
@@ -101,6 +125,13 @@ def _read_prefix(bits: Bits, size: int) -> Prefix:
         left = 2 + bits.read(2 + 2 * bits.read(3))
         if left > size:
             raise ValueError("more code lengths than symbols")
+    if code.bits == 1 and left == size and code.used[-1] < 16:  # one bit for each symbol
+        first, last = bits.at >> 3, (bits.at + size + 7) >> 3
+        if bits.at + size > bits.end:
+            raise ValueError("the stream ends early")
+        one = np.unpackbits(np.frombuffer(bits.data, np.uint8, last - first, first), bitorder="little")[bits.at & 7:][:size]
+        bits.at += size
+        return Prefix(code.used[one])
     at, previous = 0, 8
     while at < size and left:
         left -= 1
@@ -182,19 +213,10 @@ def _read_image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
 
 def _read_flat(bits: Bits, codes: list[Prefix], total: int) -> np.ndarray | None:
     """All pixels at once, where the four literal codes each have one length and green codes no references."""
-    widths, symbols = [], []
-    for c in codes[:4]:
-        used = np.flatnonzero(np.array(c.lengths))
-        if c.only is not None:
-            widths.append(0)
-            symbols.append(np.array([c.only], np.uint32))
-            continue
-        if len({c.lengths[s] for s in used}) != 1 or used[-1] > 255:
-            return None
-        widths.append(c.bits)
-        symbols.append(np.array([s for _, s in c.table], np.uint32))
-    if symbols[0].max() > 255:
+    symbols = [c.flat() for c in codes[:4]]
+    if any(t is None for t in symbols) or symbols[0].max() > 255:
         return None
+    widths = [c.bits for c in codes[:4]]
     per = sum(widths)
     if not per:
         raw = np.zeros((total, 0), np.uint8)
@@ -204,19 +226,16 @@ def _read_flat(bits: Bits, codes: list[Prefix], total: int) -> np.ndarray | None
             raise ValueError("the stream ends early")
         raw = np.unpackbits(np.frombuffer(bits.data, np.uint8, last - first, first), bitorder="little")[bits.at & 7:][:per * total].reshape(total, per)
         bits.at += per * total
-    out, at = [], 0
-    for n, table in zip(widths, symbols):
-        index = np.zeros(total, np.uint16)
-        for k in range(n):
-            index |= raw[:, at + k].astype(np.uint16) << k
+    argb, at = np.zeros(total, np.uint32), 0
+    for n, table, shift in zip(widths, symbols, (8, 16, 0, 24)):
+        index = np.packbits(raw[:, at:at + n], axis=1, bitorder="little")[:, 0] if n else np.zeros(total, np.uint8)
         at += n
-        out.append(table[index])
-    green, red, blue, alpha = out
-    return alpha << 24 | red << 16 | green << 8 | blue
+        argb |= table[index] << np.uint32(shift)
+    return argb
 
 
 def _channels(argb: np.ndarray) -> np.ndarray:
-    return np.stack([(argb >> s) & 0xFF for s in (24, 16, 8, 0)], axis=-1).astype(np.int32)
+    return argb.astype(">u4").view(np.uint8).reshape(*argb.shape, 4).astype(np.int32)
 
 
 def _average(a, b):
@@ -315,7 +334,10 @@ def decode(file: bytes) -> np.ndarray:
             coded = (coded + (1 << pack) - 1) >> pack
         else:
             todo.append((kind, 0, None, coded))
-    p = _channels(_read_image(bits, coded, height, True)).reshape(height, coded, 4)
+    argb = _read_image(bits, coded, height, True)
+    if not todo:
+        return argb.astype(">u4").view(np.uint8).reshape(height, coded, 4)
+    p = _channels(argb).reshape(height, coded, 4)
     for kind, n, data, across in reversed(todo):
         if kind == PREDICTOR:
             p = _undo_predictor(p, (data >> 8) & 0xFF, n)
@@ -352,10 +374,12 @@ def flat_code(out: Writer, used: np.ndarray, size: int) -> tuple[int, np.ndarray
     if len(used) == 1:
         out.put(0b1 | (int(used[0]) > 1) << 2, 3)
         out.put(int(used[0]), 8 if used[0] > 1 else 1)
-        return 0, np.zeros(256, np.uint16)
+        return 0, np.zeros(256, np.uint8)
     n = int(len(used) - 1).bit_length()
     if len(used) < 1 << n:
-        used = np.sort(np.concatenate([used, np.setdiff1d(np.arange(256), used)[:(1 << n) - len(used)]]))
+        free = np.ones(256, bool)
+        free[used] = False
+        used = np.sort(np.concatenate([used, np.flatnonzero(free)[:(1 << n) - len(used)]]))
     # code lengths 0 and n alone, one bit each
     out.put(0, 1)
     k = LENGTH_ORDER.index(n)
@@ -366,12 +390,8 @@ def flat_code(out: Writer, used: np.ndarray, size: int) -> tuple[int, np.ndarray
     lengths = np.zeros(size, np.uint8)
     lengths[used] = 1
     out.put(int.from_bytes(np.packbits(lengths, bitorder="little").tobytes(), "little"), size)
-    pattern = np.zeros(256, np.uint16)
-    code = np.arange(len(used), dtype=np.uint16)
-    turned = np.zeros(len(used), np.uint16)
-    for i in range(n):
-        turned |= ((code >> i) & 1) << (n - 1 - i)
-    pattern[used] = turned
+    pattern = np.zeros(256, np.uint8)
+    pattern[used] = _turned(n)
     return n, pattern
 
 
@@ -398,8 +418,8 @@ def encode(payload: bytes) -> bytes:
     body = np.zeros((pixels, sum(widths)), np.uint8)
     at = 0
     for n, v in zip(widths, patterns):
-        for k in range(n):
-            body[:, at + k] = (v >> k) & 1
+        if n:
+            body[:, at:at + n] = np.unpackbits(v[:, None], axis=1, count=n, bitorder="little")
         at += n
     head = np.frombuffer(out.value.to_bytes((out.n + 7) // 8, "little"), np.uint8)
     stream = np.packbits(np.concatenate([np.unpackbits(head, bitorder="little")[:out.n], body.reshape(-1)]), bitorder="little").tobytes()
