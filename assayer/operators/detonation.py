@@ -88,7 +88,8 @@ def trace_signals(lines: DataFrame, states: DataFrame | None = None, proxy_port:
     direct = (port != "") & valid & ~loopback & ~((port == str(proxy_port)) & private_ip)
     of_connect = (F.when(args.rlike("sa_family=AF_UNIX, sun_path="), F.when(unix.rlike(fixed.CONTAINER_SOCKETS), what("sensitive-file-access", "high", unix)))
                   .when(direct, what("proxy-bypass-attempt", "medium", F.concat_ws(":", address, port))))
-    seen = events.select(*RUN, "seq", "line", F.when(is_file, of_file).when(call == "connect", of_connect).alias("w")).where("w is not null").select(*RUN, "seq", "line", "w.*")
+    told = F.filter(F.array(F.when(is_file, of_file).when(call == "connect", of_connect)), lambda x: x.isNotNull())
+    seen = events.select(*RUN, "seq", "line", F.explode(told).alias("w")).select(*RUN, "seq", "line", "w.*")  # a generator, so that the cases are evaluated once
     once = seen.groupBy(*RUN, "category", "key").agg(F.min(F.struct("seq", "severity", "line")).alias("first")).select(*RUN, "first.seq", "category", "key", "first.severity", "first.line")
     if states is not None:
         ran = lines.where(F.col("line").contains(" execve(")).select("run_id").distinct()
