@@ -48,11 +48,11 @@ def sarif(judged: DataFrame, signals: DataFrame, name: str = "assayer") -> DataF
     results = sarif_results(judged, signals)
     one = F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"),
                    F.array(F.struct(F.struct(F.struct("uri").alias("artifactLocation"), F.struct(F.col("start_line").alias("startLine")).alias("region")).alias("physicalLocation"))).alias("locations"),
-                   F.create_map(F.lit("signal/v1"), "fingerprint").alias("partialFingerprints"),
+                   F.struct(F.col("fingerprint").alias("signal/v1")).alias("partialFingerprints"),
                    F.when(F.col("suppression").isNotNull(), F.array(F.struct(F.lit("external").alias("kind"), F.lit("accepted").alias("status"), F.col("suppression").alias("justification")))).alias("suppressions"),
                    F.struct("source", "verdict").alias("properties"))
     listed = results.agg(F.array_sort(F.collect_list(F.struct("ecosystem", "package", "version", "fingerprint", one.alias("r")))).alias("x")).select(F.transform("x", lambda x: x["r"]).alias("results"))
-    ruled = worst_by_category(signals).agg(F.array_sort(F.collect_list(F.struct(F.col("category").alias("id"), F.struct("level").alias("defaultConfiguration"), F.create_map(F.lit("security-severity"), "security_severity").alias("properties")))).alias("rules"))
+    ruled = worst_by_category(signals).agg(F.array_sort(F.collect_list(F.struct(F.col("category").alias("id"), F.struct("level").alias("defaultConfiguration"), F.struct(F.col("security_severity").alias("security-severity")).alias("properties")))).alias("rules"))
     return listed.crossJoin(ruled).select(F.to_json(F.struct(F.lit(fixed.SARIF_SCHEMA).alias("$schema"), F.lit("2.1.0").alias("version"), F.array(F.struct(F.struct(F.struct(F.lit(name).alias("name"), "rules").alias("driver")).alias("tool"), "results")).alias("runs"))).alias("sarif"))
 
 

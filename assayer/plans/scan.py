@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.text import is_exact
-from assayer.operators import lines, policy, python_code, typosquat, verdict
+from assayer.operators import js_code, lines, policy, python_code, typosquat, verdict
 from assayer.sources import manifests
 
 KEY = ["ecosystem", "package", "version"]
@@ -17,7 +17,7 @@ def static_signals(files: DataFrame, meta: DataFrame, releases: DataFrame, reput
     npm = files.where("ecosystem = 'npm'")
     scripts = manifests.lifecycle_scripts(meta)
     out = lines.lifecycle_signals(scripts)
-    for more in (lines.scan_javascript(lines.javascript_files(npm, lines.bin_paths(meta))), lines.coverage_gaps(npm, meta), python_code.python_signals(files.where("ecosystem = 'pypi'")), typosquat.typosquat_signals(releases, "npm"), typosquat.typosquat_signals(releases, "pypi")):
+    for more in (js_code.scan_with_trees(lines.javascript_files(npm, lines.bin_paths(meta))), lines.coverage_gaps(npm, meta), python_code.python_signals(files.where("ecosystem = 'pypi'")), typosquat.typosquat_signals(releases, "npm"), typosquat.typosquat_signals(releases, "pypi")):
         out = out.unionByName(more)
     return typosquat.drop_established(out, reputation)
 

