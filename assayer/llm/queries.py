@@ -65,4 +65,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_quality, op4_decontamination, op5_merkle_fixity, op6_webp, op7_packing, op8_licenses, op9_simhash, op10_html_extraction)}
-ORACLE: dict[str, str] = {}
+#: Fixity without trees: what each record is, where it lies, and which faults the damaged replica has.
+ORACLE: dict[str, str] = {"op5_merkle_fixity": """
+WITH r AS (SELECT page_id, html, CAST(floor(page_id / 128) AS BIGINT) AS archive,
+    concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10), 'WARC-Record-ID: <urn:page:', page_id, '>', chr(13), chr(10),
+      'Content-Type: text/html; charset=utf-8', chr(13), chr(10), 'Content-Length: ', octet_length(encode(html)), chr(13), chr(10), chr(13), chr(10), html, chr(13), chr(10), chr(13), chr(10)) AS rec FROM pages),
+  g AS (SELECT page_id, archive, CAST(octet_length(encode(rec)) AS BIGINT) AS record_length, sha256(rec) AS record_sha256, count(*) AS copies, any_value(html) AS html FROM r GROUP BY 1, 2, 3, 4)
+SELECT page_id, archive, CAST(sum(record_length) OVER (PARTITION BY archive ORDER BY page_id, record_sha256) - record_length AS BIGINT) AS record_offset, record_length, record_sha256, copies,
+  CASE WHEN page_id % 499 = 3 THEN 'missing' WHEN page_id % 101 = 7 AND html <> concat('#', substr(html, 2)) THEN 'changed' ELSE 'intact' END AS status FROM g"""}
