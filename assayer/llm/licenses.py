@@ -1,8 +1,10 @@
 """License scans over a positional index of rare words, in DataFrame functions alone.
 
 The words of the licence notices below form a positional index: word -> (notice, position, inverse document frequency over
-the notices).  A file looks up only its highest-IDF licence words; postings that agree on the relative position name a
-notice and a place, and a notice counts only where its mandatory key phrase also stands in the file, word by word.
+the notices).  A file looks up all its rare licence words; postings that agree on the relative position name a notice and a
+place.  A notice counts only where its mandatory key phrase stands at that same place, and where AGREE rare postings agree
+on it, one of them outside the key phrase (the key phrase alone is prose, unless the notice has no rare word beside it).
+The counted phrases are found through the same index.
 
 Defined cases: null text is the empty text; a text without words has zero words and no labels; repeated rows are scanned
 each on its own; an empty table gives no rows; extra columns are ignored.
@@ -37,54 +39,63 @@ NOTICES = (
 )
 #: Words of the notices and phrases that any text has; they are compared where a rarer word leads to them, never looked up.
 COMMON = frozenset("a all and any are by for free forms from in is license of or person rights terms the this to under use version with without work 0 1 2 3 4".split())
-#: Rarest licence words of a file that are looked up; postings that must agree on a place.
-RARE_WORDS, AGREE = 24, 1
+#: Rare postings of a notice that must agree on one start, at least one of them outside its key phrase if it has any there.
+AGREE = 2
 
 
-def postings() -> list[tuple[str, str, int, float, int]]:
-    """(word, label, position, idf, rare words of the notice), for every word that is not common."""
+def postings() -> list[tuple[str, str, str, int, float]]:
+    """(word, mark, label, position, idf) of every rare word of the notices ("notice") and counted phrases ("base")."""
     seen: dict[str, set[str]] = {}
     for label, _, notice in NOTICES:
         for w in set(notice.split()) - COMMON:
             seen.setdefault(w, set()).add(label)
     idf = {w: round(math.log(1 + len(NOTICES) / len(s)), 6) for w, s in seen.items()}
-    return [(w, label, k, idf[w], sum(x not in COMMON for x in notice.split())) for label, _, notice in NOTICES for k, w in enumerate(notice.split()) if w not in COMMON]
+    every = [("notice", label, notice) for label, _, notice in NOTICES] + [("base", label, p) for p, label in PHRASES.items()]
+    return [(w, mark, label, k, idf[w]) for mark, label, words in every for k, w in enumerate(words.split()) if w not in COMMON]
 
 
-def phrases() -> list[tuple[str, list[str], int]]:
-    """(mark, words, place of the rare word that leads to it), for counted and mandatory phrases."""
-    every = [(f"base:{label}", p.split()) for p, label in PHRASES.items()] + [(f"key:{label}", p.split()) for label, p, _ in NOTICES]
-    lead = lambda words: next((k for k, w in enumerate(words) if w not in COMMON), words.index("reserved") if "reserved" in words else 0)
-    return [(mark, words, lead(words)) for mark, words in every]
+def templates() -> list[tuple[str, str, list[str], list[int], list[int]]]:
+    """(mark, label, words, places that must hold, places of rare words): notices with their key phrase, phrases as a whole."""
+    out = [("base", label, p.split(), list(range(len(p.split()))), []) for p, label in PHRASES.items()]
+    for label, key, notice in NOTICES:
+        words, must = notice.split(), key.split()
+        at = next(k for k in range(len(words)) if words[k:k + len(must)] == must)
+        out.append(("notice", label, words, list(range(at, at + len(must))), [k for k, w in enumerate(words) if w not in COMMON]))
+    return out
+
+
+#: Words around a rare word that a template around it can reach.
+REACH = max(len(t[2]) for t in templates()) - 1
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = docs.sparkSession
-    vocabulary = sorted({r[0] for r in postings()} | {words[k] for _, words, k in phrases()})
+    vocabulary = sorted({r[0] for r in postings()})
     low = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     split = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.split(low, SEPARATORS).alias("words"))
     sized = split.select("doc_id", "row", "words", F.size("words").alias("n"), (F.get("words", F.lit(0)) == "").cast("int").alias("lead"), (F.element_at("words", -1) == "").cast("int").alias("tail"))
     every = sized.select("doc_id", "row", "n", "lead", "tail", "words", F.posexplode("words").alias("pos", "word"))
-    is_last = F.col("pos") == F.col("n") - 1
-    # a phrase stands where its words surround its rare word
-    starts = [F.when((F.col("word") == words[k]) & F.forall(F.array(*(F.get("words", F.col("pos") + (i - k)) == w for i, w in enumerate(words))), lambda x: F.coalesce(x, F.lit(False))), F.struct(F.lit(mark).alias("mark"), (F.col("pos") - F.col("lead") - k).cast("long").alias("start"))) for mark, words, k in phrases()]
-    # rare licence words, and the last place of every file, which tells its number of words
-    met = keep(every.where(F.col("word").isin(vocabulary) | is_last).select(
+    is_last, is_rare = F.col("pos") == F.col("n") - 1, F.col("word").isin(vocabulary)
+    # rare words with the words around them, and the last place of every file, which tells its number of words
+    first = F.greatest(F.col("pos") - REACH, F.lit(0))
+    met = keep(every.where(is_rare | is_last).select(
         "doc_id", "row", F.greatest(F.col("n") - F.col("lead") - F.col("tail"), F.lit(0)).cast("long").alias("n_words"),
-        is_last.alias("is_last"), (F.col("pos") - F.col("lead")).cast("long").alias("pos"), "word", F.filter(F.array(*starts), lambda x: x.isNotNull()).alias("places")), "licence-words")
+        is_last.alias("is_last"), (F.col("pos") - F.col("lead")).cast("long").alias("pos"), "word", (F.col("pos") - first).alias("here"),
+        F.when(is_rare, F.slice("words", first + 1, 2 * REACH + 1)).alias("around")), "licence-words")
     files = met.where("is_last").select("row", "doc_id", "n_words")
-    hits = met.where(F.col("word").isin(vocabulary)).select("row", "pos", "word")
+    hits = met.where("around is not null").select("row", "pos", "word", "here", "around")
     # the index: a fixed number of rows, from the constants above
-    index = F.broadcast(spark.createDataFrame(postings(), "word string, label string, at int, idf double, size int"))
-    places = met.where("size(places) > 0").select("row", F.explode("places").alias("p")).select("row", "p.mark", "p.start")
-    base = places.where("mark like 'base:%'").groupBy("row").agg(F.count("*").alias("n_base"), F.min("start").alias("first_word"), F.max("start").alias("last_word"), F.collect_set(F.substring("mark", 6, 100)).alias("base"))
-    keys = places.where("mark like 'key:%'").select("row", F.substring("mark", 5, 100).alias("label")).distinct()
-    rare = hits.join(index.select("word", "idf").distinct(), "word").select("row", "word", "idf").distinct()
-    rare = rare.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("idf"), "word"))).where(F.col("rank") <= RARE_WORDS).select("row", "word")
-    votes = hits.join(rare, ["row", "word"]).join(index, "word").groupBy("row", "label", "size", (F.col("pos") - F.col("at")).alias("start")).agg(F.countDistinct("at").alias("agree")).where(F.col("agree") >= AGREE)
-    best = votes.join(keys, ["row", "label"]).groupBy("row", "label").agg(F.max(F.col("agree") / F.col("size")).alias("cover"))
-    named = best.groupBy("row").agg(F.collect_set("label").alias("named"), F.max("cover").alias("cover"))
+    index = spark.createDataFrame(postings(), "word string, mark string, label string, at int, idf double").join(
+        F.broadcast(spark.createDataFrame(templates(), "mark string, label string, template array<string>, must array<int>, rare array<int>")), ["mark", "label"])
+    # every posting names a start; the template's other words vote on that start by their own relative positions
+    stands = F.transform("template", lambda w, k: F.coalesce((F.col("here") - F.col("at") + k >= 0) & (F.get("around", F.col("here") - F.col("at") + k) == w), F.lit(False)))
+    voted = hits.join(F.broadcast(index), "word").select("row", "mark", "label", (F.col("pos") - F.col("at")).alias("start"), "must", "rare", stands.alias("stands"))
+    voted = voted.where(F.forall("must", lambda k: F.get("stands", k))).withColumn("agreed", F.filter("rare", lambda k: F.get("stands", k))).drop("stands")
+    outside = lambda c: F.size(F.array_except(c, F.col("must")))
+    base = voted.where("mark = 'base'").select("row", "label", "start").distinct().groupBy("row").agg(F.count("*").alias("n_base"), F.min("start").alias("first_word"), F.max("start").alias("last_word"), F.collect_set("label").alias("base"))
+    agreed = voted.where("mark = 'notice'").where((F.size("agreed") >= AGREE) & ((outside(F.col("rare")) == 0) | (outside(F.col("agreed")) > 0)))
+    named = agreed.groupBy("row").agg(F.collect_set("label").alias("named"), F.max(F.size("agreed") / F.size("rare")).alias("cover"))
     none = F.array().cast("array<string>")
     return (files.join(base, "row", "left").join(named, "row", "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",

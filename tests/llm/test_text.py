@@ -104,6 +104,15 @@ def test_licence_places(spark, docs, small_docs):
     assert got[7]["labels"] == "apache-2.0" and got[4]["labels"] == "gpl,gpl-3.0" and got[0]["labels"] == "cc-by,cc-by-nc-4.0" and got[6]["labels"] == ""
 
 
+def test_licences_need_agreeing_postings(spark):
+    texts = ["we like the apache license and its friends", "in this story all rights reserved seats were taken", "a mozilla public license exists, and a lesser general public license",
+             "permission is hereby granted to sing", "licensed here and now; the apache license", "Licensed under the Apache License", "Copyright: all rights reserved",
+             "we say: Permission is hereby granted, free of charge, to any person obtaining a copy", "x " * 40 + "subject to the terms of the Mozilla Public License, version 2.0", " ".join(sorted({w for _, _, n in licenses.NOTICES for w in n.split()})) + " licensed under cc by nc"]
+    rows = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == ["", "reserved", "gpl", "", "", "apache-2.0", "proprietary,reserved", "mit", "mpl-2.0", "cc-by,cc-by-nc-4.0"]
+
+
 def test_licences_of_nothing(empty):
     assert licenses.scan(empty).count() == 0
 
