@@ -396,12 +396,21 @@ def flat_code(out: Writer, used: np.ndarray, size: int) -> tuple[int, np.ndarray
 
 
 def encode(payload: bytes) -> bytes:
-    """A lossless WebP file of one or more whole rows; payload is a positive multiple of 64 bytes, in the order alpha, red, green, blue."""
+    """A lossless WebP file of whole rows; payload is a positive multiple of 64 bytes, in the order alpha, red, green, blue.
+
+    Where no width divides the pixels, zeros fill the last row up; the payload is then the first bytes of what comes back.
+    """
     if not payload or len(payload) % 64:
         raise ValueError("the payload must be a positive multiple of 64 bytes")
     pixels = len(payload) // 4
     width = next((w for w in range(min(WIDTH, pixels), 15, -16) if pixels % w == 0 and pixels // w <= MAX_SIDE), None)
-    width = width or next(w for w in range(MAX_SIDE, 15, -16) if pixels % w == 0 and pixels // w <= MAX_SIDE)
+    width = width or next((w for w in range(MAX_SIDE, 15, -16) if pixels % w == 0 and pixels // w <= MAX_SIDE), None)
+    if width is None:
+        width = max(WIDTH, -(-pixels // (MAX_SIDE * 16)) * 16)
+        if width > MAX_SIDE:
+            raise ValueError("the payload is larger than the largest image")
+        pixels = -(-pixels // width) * width
+        payload += b"\0" * (pixels * 4 - len(payload))
     p = np.frombuffer(payload, np.uint8).reshape(pixels, 4)
     out = Writer()
     out.put(width - 1, 14)
@@ -431,7 +440,12 @@ def encode(payload: bytes) -> bytes:
 def payload_of(text: str | None) -> tuple[bytes, int]:
     """UTF-8 bytes filled up with zeros to a positive multiple of 64, and the number before."""
     raw = (text or "").encode("utf-8")
-    return raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw)), len(raw)
+    return raw + b"\0" * (payload_size(len(raw)) - len(raw)), len(raw)
+
+
+def payload_size(n_bytes: int) -> int:
+    """Bytes of the payload of a text of n_bytes."""
+    return max(64, -(-n_bytes // 64) * 64)
 
 
 def feature(samples: np.ndarray) -> str:
@@ -460,9 +474,9 @@ def _read(batches):
 
     for b in batches:
         rows = []
-        for m in b.column("media"):
+        for m, n in zip(b.column("media"), b.column("n_bytes").to_pylist()):
             file = m.as_py()
-            samples = decode(file)
+            samples = decode(file).reshape(-1)[:payload_size(n)]  # without what fills the last row up
             payload = samples.tobytes()
             rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest(), feature(samples)))
         if rows:

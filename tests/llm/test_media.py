@@ -253,6 +253,22 @@ def test_sizes(size):
     assert webp.decode(webp.encode(raw)).tobytes() == raw
 
 
+@pytest.mark.parametrize("size", [64 * 16411, 64 * 2 * 16411, 64 * 65537])
+def test_sizes_that_fill_no_rows(size):
+    raw = np.random.default_rng(size).integers(0, 256, 4096).astype(np.uint8).tobytes() * (size // 4096) + b"z" * (size % 4096)
+    assert webp.decode(webp.encode(raw)).tobytes()[:size] == raw
+
+
+def test_one_very_long_text(spark):
+    text = "ab c" * (16 * 16411) + "x"
+    rows = spark.createDataFrame([(1, "short"), (2, text[:-2])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in webp.read_features(webp.store(rows)).collect()}
+    raw = text[:-2].encode()
+    raw += b"\0" * (-len(raw) % 64)
+    assert len(raw) == 64 * 16411 and got[1]["n_bytes"] == 5
+    assert (got[2]["n_bytes"], got[2]["payload_bytes"], got[2]["payload_sha256"]) == (len(text) - 2, len(raw), hashlib.sha256(raw).hexdigest())
+
+
 # ---- archives ----
 
 def test_fixity_finds_planted_faults(spark):
