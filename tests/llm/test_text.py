@@ -225,3 +225,10 @@ def test_repeated_tokens_equal_brute_force():
 
 def test_copies_of_a_page_keep_their_text():
     assert html_text.boilerplate_blocks([["the same long story told on every copied page", "and how it ends for all of them today"]] * 9) == [[False, False]] * 9
+
+
+def test_repeated_runs_go_and_unique_runs_stay():
+    notice = "this site is run by the harbour club and all its many friends"
+    pages = [[f"story {i} has words of its own", f"seen on day {i} : {notice} , counter {i * 7}", f"end {i}"] for i in range(9)]
+    assert html_text.kept_text(pages) == [[p[0], f"seen on day {i} {i * 7}", p[2]] for i, p in enumerate(pages)]
+    assert html_text.kept_text(pages[:4]) == pages[:4]
