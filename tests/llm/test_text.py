@@ -232,3 +232,13 @@ def test_repeated_runs_go_and_unique_runs_stay():
     pages = [[f"story {i} has words of its own", f"seen on day {i} : {notice} , counter {i * 7}", f"end {i}"] for i in range(9)]
     assert html_text.kept_text(pages) == [[p[0], f"seen on day {i} {i * 7}", p[2]] for i, p in enumerate(pages)]
     assert html_text.kept_text(pages[:4]) == pages[:4]
+
+
+def test_parts_of_a_host_decide_as_the_whole(spark, monkeypatch):
+    notice, short = "this site is run by the harbour club and all its many friends", "Contact us now"
+    page = lambda i: f"<p>story {i} has words of its own</p>" + (f"<p>on day {i} {notice}</p><p>more {i}</p>" if i % 10 == 0 else "") + (f"<div>{short}</div><p>last {i}</p>" if i % 8 == 0 else "")
+    df = spark.createDataFrame([(i, f"https://h.example/{i}", page(i)) for i in range(80)] + [(900 + i, f"https://k.example/{i}", page(i)) for i in range(3)], "page_id long, url string, html string")
+    want = sorted(map(tuple, html_text.extract(df).collect()))
+    assert dict((r[0], r[2]) for r in want)[40] == "story 40 has words of its own\non day 40\nmore 40\nlast 40"
+    monkeypatch.setattr(html_text, "PART_PAGES", 10)
+    assert sorted(map(tuple, html_text.extract(df).collect())) == want
