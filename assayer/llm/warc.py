@@ -4,9 +4,13 @@ A record's bytes are hashed; hashes of ordered offset ranges make the nodes abov
 each archive.  Replicas are compared by their roots, and only the branches of a node that differs are looked at, down to
 the records that are damaged or missing.
 
+Every level of both trees, and what differs on it, is written once and read by the next, so a plan holds one level whatever
+the height.  The height follows the largest archive.  Offsets are sums over pieces of an archive (its ids, and inside an id
+the first digits of the hash) and then over the records of a piece, so no window holds an archive or a hot id.
+
 Defined cases: null html or url is empty; a null id belongs to archive -1; records that repeat id and bytes are one record
-with its number of copies; records that repeat an id with other bytes stand one after the other; an empty table gives no
-rows; extra columns are ignored.
+with its number of copies; records that repeat an id with other bytes stand one after the other, in the order of their
+hashes; very long records make one leaf each; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,11 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.common import keep
+from assayer.llm.common import discard, keep
 
 #: Ids of one archive; bytes of the lowest offset ranges, and ranges that make the next one.
 ARCHIVE_IDS, RANGE, FAN = 128, 1 << 16, 16
-LEVELS = 4
+#: Digits of a record's hash that name its piece of an id.
+PIECE_DIGITS = 4
 
 
 def record_bytes(url: Column, body: Column, record_id: Column) -> Column:
@@ -35,37 +40,62 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def index(found: DataFrame) -> DataFrame:
-    """Records with their offset in their archive, in the order of ids."""
-    order = Window.partitionBy("archive").orderBy("page_id", "record_sha256")
-    return found.withColumn("record_offset", F.sum("record_length").over(order) - F.col("record_length"))
+    """Records with their offset in their archive and their number in their id, in the order of ids and hashes."""
+    pieced = found.withColumn("piece", F.substring("record_sha256", 1, PIECE_DIGITS))
+    key = ["archive", "page_id", "piece"]
+    sizes = pieced.groupBy(*key).agg(F.sum("record_length").alias("bytes"), F.count("*").alias("n"))
+    in_archive, in_id = Window.partitionBy("archive").orderBy("page_id", "piece"), Window.partitionBy("archive", "page_id").orderBy("piece")
+    before = sizes.select(*key, (F.sum("bytes").over(in_archive) - F.col("bytes")).alias("bytes_before"), (F.sum("n").over(in_id) - F.col("n")).alias("n_before"))
+    a, b = pieced.alias("a"), before.alias("b")
+    same = (F.col("a.archive") == F.col("b.archive")) & F.col("a.page_id").eqNullSafe(F.col("b.page_id")) & (F.col("a.piece") == F.col("b.piece"))
+    inside = Window.partitionBy("archive", "page_id", "piece").orderBy("record_sha256")
+    return a.join(b, same).select("a.*", "b.bytes_before", "b.n_before").select(
+        *found.columns, (F.col("bytes_before") + F.sum("record_length").over(inside) - F.col("record_length")).alias("record_offset"), (F.col("n_before") + F.row_number().over(inside)).alias("number"))
+
+
+def _parent(level: int):
+    """Number of the node on `level` that holds a place of the level below."""
+    return F.floor(F.col("place") / (RANGE if level == 1 else FAN)).cast("long")
 
 
 def _nodes(children: DataFrame, level: int) -> DataFrame:
     """Hash of each range of the level: of its children's places and hashes, in order."""
-    place = F.floor(F.col("place") / (RANGE if level == 1 else FAN)) if level < LEVELS else F.lit(0)
     listed = F.array_sort(F.collect_list(F.struct("place", "hash")))
-    return children.groupBy("archive", place.cast("long").alias("at")).agg(F.sha2(F.array_join(F.transform(listed, lambda c: F.concat_ws(":", c["place"].cast("string"), c["hash"])), "|"), 256).alias("hash")).withColumnRenamed("at", "place")
+    return children.groupBy("archive", _parent(level).alias("at")).agg(F.sha2(F.array_join(F.transform(listed, lambda c: F.concat_ws(":", c["place"].cast("string"), c["hash"])), "|"), 256).alias("hash")).withColumnRenamed("at", "place")
 
 
-def tree(leaves: DataFrame) -> list[DataFrame]:
-    """Levels from records (place is the offset) to roots, each (archive, place, hash)."""
-    levels = [leaves.select("archive", F.col("record_offset").alias("place"), F.col("record_sha256").alias("hash"))]
-    for k in range(1, LEVELS + 1):
-        levels.append(_nodes(levels[-1], k))
+def height(*leaves: DataFrame) -> int:
+    """Levels above the records after which every archive has one node."""
+    last = max([x.agg(F.max("record_offset")).first()[0] or 0 for x in leaves], default=0)
+    levels, top = 1, last // RANGE
+    while top:
+        levels, top = levels + 1, top // FAN
     return levels
 
 
+def tree(leaves: DataFrame, levels: int) -> list[DataFrame]:
+    """Levels from records (place is the offset) to roots, each (archive, place, hash)."""
+    out = [leaves.select("archive", F.col("record_offset").alias("place"), F.col("record_sha256").alias("hash"))]
+    for k in range(1, levels + 1):
+        out.append(keep(_nodes(out[-1], k), f"level{k}"))
+    return out
+
+
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     """(archive, record_offset, status) of the records that differ: changed, missing or extra in the replica."""
-    a, b = tree(primary), tree(replica)
+    levels = height(primary, replica)
+    a, b = tree(primary, levels), tree(replica, levels)
     differ = None
-    for k in range(LEVELS, -1, -1):
+    for k in range(levels, -1, -1):
         mine, theirs = a[k], b[k]
         if differ is not None:
-            parent = (F.floor(F.col("place") / (RANGE if k == 0 else FAN)) if k + 1 < LEVELS else F.lit(0)).cast("long")
             look = differ.select("archive", F.col("place").alias("parent"))
-            mine, theirs = (x.withColumn("parent", parent).join(look, ["archive", "parent"], "left_semi").drop("parent") for x in (mine, theirs))
-        differ = mine.withColumnRenamed("hash", "mine").join(theirs.withColumnRenamed("hash", "theirs"), ["archive", "place"], "full").where(~F.col("mine").eqNullSafe(F.col("theirs")))
+            mine, theirs = (x.withColumn("parent", _parent(k + 1)).join(look, ["archive", "parent"], "left_semi").drop("parent") for x in (mine, theirs))
+        found = mine.withColumnRenamed("hash", "mine").join(theirs.withColumnRenamed("hash", "theirs"), ["archive", "place"], "full").where(~F.col("mine").eqNullSafe(F.col("theirs")))
+        last, differ = differ, keep(found, f"differ{k}")
+        if last is not None:
+            discard(last)
+    discard(*a[1:], *b[1:])
     status = F.when(F.col("theirs").isNull(), "missing").when(F.col("mine").isNull(), "extra").otherwise("changed")
     return differ.select("archive", F.col("place").alias("record_offset"), status.alias("status"))
 
@@ -78,10 +108,9 @@ def damaged(pages: DataFrame) -> DataFrame:
 def fixity(pages: DataFrame, replica: DataFrame) -> DataFrame:
     """Every record of pages with its place and its state in the replica, whose records lie at the index's places."""
     own = keep(index(records(pages)), "index")
-    places = own.select("page_id", "archive", "record_offset").withColumn("n", F.row_number().over(Window.partitionBy("archive", "page_id").orderBy("record_offset")))
-    theirs = records(replica).withColumn("n", F.row_number().over(Window.partitionBy("archive", "page_id").orderBy("record_sha256")))
-    key = (places["page_id"].eqNullSafe(theirs["page_id"])) & (places["archive"] == theirs["archive"]) & (places["n"] == theirs["n"])
-    held = keep(theirs.join(places, key).select(places["archive"], places["record_offset"], theirs["record_sha256"]), "replica")
+    theirs, places = index(records(replica)).alias("t"), own.alias("p")
+    same = (F.col("t.archive") == F.col("p.archive")) & F.col("t.page_id").eqNullSafe(F.col("p.page_id")) & (F.col("t.number") == F.col("p.number"))
+    held = keep(theirs.join(places, same).select("p.archive", "p.record_offset", "t.record_sha256"), "replica")
     found = audit(own, held)
     return own.join(found, ["archive", "record_offset"], "left").select("page_id", "archive", "record_offset", "record_length", "record_sha256", "copies", F.coalesce("status", F.lit("intact")).alias("status"))
 

@@ -283,6 +283,33 @@ def test_fixity_finds_planted_faults(spark):
     assert warc.fixity(pages.limit(0), pages.limit(0)).count() == 0
 
 
+def test_offsets_of_ids_that_hold_many_records(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(r.choice([None, 1, 1, 1, 2, 300]), "u", "x" * r.randint(0, 400) + str(r.randint(0, 150))) for _ in range(900)]
+    got = warc.index(warc.records(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    assert len(got) == len(set(rows))
+    at, number = {}, {}
+    for x in sorted(got, key=lambda x: (x["archive"], x["page_id"] or 0, x["record_sha256"])):
+        assert x["record_offset"] == at.get(x["archive"], 0) and x["number"] == number.get(x["page_id"], 0) + 1
+        at[x["archive"]], number[x["page_id"]] = x["record_offset"] + x["record_length"], x["number"]
+
+
+def test_roots_of_trees_of_any_height(spark):
+    import hashlib
+
+    leaves = [(0, k * 70_000, hashlib.sha256(str(k).encode()).hexdigest()) for k in range(700)]
+    table = spark.createDataFrame(leaves, "archive long, record_offset long, record_sha256 string")
+    level, levels = {k: h for _, k, h in leaves}, warc.height(table)
+    for k in range(levels):
+        up = {}
+        for place, h in sorted(level.items()):
+            up.setdefault(place // (warc.RANGE if k == 0 else warc.FAN), []).append(f"{place}:{h}")
+        level = {p: hashlib.sha256("|".join(v).encode()).hexdigest() for p, v in up.items()}
+    assert levels > 3 and [(r["place"], r["hash"]) for r in warc.tree(table, levels)[-1].collect()] == list(level.items()) and len(level) == 1
+
+
 def test_only_mismatching_branches(spark):
     pages = spark.range(300).selectExpr("id as page_id", "concat('https://h/', id) as url", "repeat('x', 2000) as html")
     own = warc.index(warc.records(pages))
