@@ -1,14 +1,17 @@
 """Best-fit packing of token sequences by bin completion, branch and bound.
 
 Pieces have whole lengths of at most `capacity`, so an instance is a histogram with at most `capacity` entries whatever
-the number of pieces.  The search works on that histogram: around the largest piece left it enumerates the undominated
-fillings of the rest of the bin, prunes by the waste that the best packing known so far still allows, and starts from a
-best-fit packing as the incumbent.  A filling is applied as often as the histogram allows, so a plan has at most a few
-fillings for each length and its size does not follow the corpus.  Pieces are then numbered inside their length in
-parallel (counts of each salt, prefix sums, row numbers inside a salt) and look their place up in the plan.
+the number of pieces.  The search works on that histogram: around the largest piece left it enumerates every undominated
+filling of the rest of the bin, least waste first, led by the sums that the lengths left can make; it prunes by the waste
+that the best packing known so far still allows, and starts from a best-fit packing as the incumbent.  A filling is applied
+as often as the histogram allows, then less often, so a plan has at most a few fillings for each length and its size does
+not follow the corpus.  One state is changed and restored along the path.  The search ends when a lower bound is met or
+all branches are closed, which proves the plan, or at NODES and STEPS, which bound the driver's time and leave the best
+plan found.  Pieces are then numbered inside their length in parallel (counts of each salt, prefix sums, row numbers
+inside a salt) and look their place up in the plan.
 
 Defined cases: null text is the empty text, which still has its end token; longer documents alone are cut, into pieces of
-`capacity` tokens and a rest; repeated rows are packed each on its own; an empty table gives no rows; extra columns are
+`capacity` tokens and a rest, however long they are; repeated rows are packed each on its own; an empty table gives no rows; extra columns are
 ignored.
 """
 
@@ -27,11 +30,13 @@ CAPACITY = 4096
 END_ID = 1
 #: Chunks of text that a generation of a worker's memory holds.
 CHUNKS = 250_000
-#: Nodes the search may open, fillings it keeps around one piece, and steps it takes to enumerate them.  A dive takes at
-#: most one node for each length, so the budget lets the search finish some dives on any histogram.
-NODES, FILLINGS, STEPS = 3 * CAPACITY, 8, 160
+#: The search is exact where it ends by itself (the lower bound is met, or every branch is closed); these end it before: nodes
+#: opened, and steps of the enumeration over all nodes.  A dive takes at most one node for each length.
+NODES, STEPS = 16 * CAPACITY, 1 << 21
+#: Levels of the search tree that share a count of reachable sums.
+RENEW = 32
 #: Pieces numbered by one task.
-SALT_ROWS = 50_000
+SALT_ROWS = 5_000
 
 _WORKERS: dict[str, tuple] = {}
 
@@ -168,110 +173,164 @@ def _apply(left: dict[int, int], filling: tuple[int, ...]) -> tuple[tuple[int, .
     return filling, times
 
 
-def fillings(left: dict[int, int], order: list[int], largest: int, capacity: int, most_waste: int, limit: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Undominated fillings around one piece of the largest length, least waste first.
+class Fillings:
+    """Lengths still to be placed, and the undominated fillings around the largest of them, least waste first.
 
-    A filling is dominated where a piece left outside it could be added, or could take the place of a smaller one in it
-    without overflow; one piece that fits the gap exactly dominates all others.
+    `reach[i]` has a bit for every sum that lengths[i:] can make.  It is built from what was left at some node above and
+    shared by the nodes below, so it may hold sums that can no longer be made, never too few: it prunes and decides nothing.
     """
-    gap = capacity - largest
-    stock = {n: left[n] - (n == largest) for n in order if n <= gap}
-    stock = {n: c for n, c in stock.items() if c > 0}
-    if gap in stock:
-        return [(largest, gap)]
-    sizes = sorted(stock, reverse=True)
-    found: list[tuple[int, tuple[int, ...]]] = []
-    floor = min(sizes, default=capacity + 1)
-    steps = 0
-
-    def search(at: int, room: int, chosen: list[int]):
-        nonlocal steps
-        steps += 1
-        if steps > STEPS or len(found) >= limit:
-            return
-        if room < floor or at == len(sizes):
-            if room <= most_waste and _undominated(stock, sizes, chosen, room):
-                found.append((room, (largest, *chosen)))
-            return
-        while at < len(sizes) and sizes[at] > room:
-            at += 1
-        if at == len(sizes):
-            if room <= most_waste and _undominated(stock, sizes, chosen, room):
-                found.append((room, (largest, *chosen)))
-            return
-        n = sizes[at]
-        for k in range(min(stock[n], room // n), -1, -1):
-            search(at + 1, room - k * n, chosen + [n] * k)
-
-    search(0, gap, [])
-    return [f for _, f in sorted(set(found))]
 
-
-def _undominated(stock: dict[int, int], sizes: list[int], chosen: list[int], room: int) -> bool:
-    used: dict[int, int] = {}
-    for n in chosen:
-        used[n] = used.get(n, 0) + 1
-    for n in sizes:
-        if stock[n] > used.get(n, 0) and (n <= room or any(m < n <= m + room for m in used)):
-            return False
-    return True
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.capacity, self.left, self.steps = capacity, dict(counts), 0
+        self.present = sum(1 << n for n, c in counts.items() if c)  # a bit for every length left
+        self.views: list[tuple[int, list[int], list[int], list[int]]] = []
+        self.view(0)
+
+    def view(self, depth: int) -> None:
+        """Count the reachable sums anew, for nodes from this depth on."""
+        lengths = sorted((n for n, c in self.left.items() if c), reverse=True)
+        mask, sums, reach = (1 << (self.capacity + 1)) - 1, 1, [1]
+        for n in reversed(lengths):
+            copies, step = min(self.left[n], self.capacity // n), 1
+            while copies:
+                step = min(step, copies)
+                sums |= (sums << (n * step)) & mask
+                copies, step = copies - step, 2 * step
+            reach.append(sums)
+        # place of the first length that is no longer than each number
+        below = (len(lengths) - np.searchsorted(np.array(lengths[::-1], np.int64), np.arange(self.capacity + 1), side="right")).tolist()
+        self.views.append((depth, lengths, reach[::-1], below))
+
+    def change(self, filling: tuple[int, ...], times: int, depth: int) -> None:
+        """Take the lengths of a filling out (times > 0) or put them back, which leads to a node of this depth."""
+        left = self.left
+        for n in filling:
+            left[n] -= times
+        for n in set(filling):
+            self.present = self.present | 1 << n if left[n] else self.present & ~(1 << n)
+        while self.views[-1][0] > depth:
+            self.views.pop()
+        if depth - self.views[-1][0] >= RENEW:
+            self.view(depth)
+
+    def largest(self) -> int:
+        """The largest length left, 0 where nothing is."""
+        return max(self.present.bit_length() - 1, 0)
+
+    def dominated(self, filling: tuple[int, ...], waste: int) -> bool:
+        """A length left outside could be added, or take the place of a smaller one, without overflow; the largest stays."""
+        outside, near = self.present, (1 << waste) - 1
+        for n in set(filling):
+            if self.left[n] == filling.count(n):
+                outside &= ~(1 << n)
+        return bool(outside >> 1 & near) or any(outside >> (m + 1) & near for m in set(filling[1:]))
+
+    def around(self, largest: int, most_waste: int):
+        """Every undominated filling with at most that waste; one piece that fits the gap exactly dominates all others."""
+        gap = self.capacity - largest
+        if gap and self.left.get(gap, 0) > (gap == largest):
+            yield (largest, gap)
+            return
+        for waste in range(min(most_waste, gap) + 1):
+            for rest in self.with_sum(largest, gap - waste):
+                filling = (largest, *rest)
+                if not waste or not self.dominated(filling, waste):
+                    yield filling
+
+    def with_sum(self, largest: int, total: int):
+        """All choices of the lengths left that add up to total, longest lengths first."""
+        _, lengths, reach, below = self.views[-1]
+        left = self.left
+        stack = [(below[largest], total, ())]
+        while stack:
+            at, room, chosen = stack.pop()
+            self.steps += 1
+            if not room:
+                yield chosen
+                continue
+            at = max(at, below[room])
+            if not reach[at] >> room & 1 or at == len(lengths):
+                continue
+            n = lengths[at]
+            stack.append((at + 1, room, chosen))
+            most = min(left[n] - (n == largest), room // n)
+            for k in range(1, most + 1):  # the most copies end on top of the stack
+                if reach[at + 1] >> (room - k * n) & 1:
+                    stack.append((at + 1, room - k * n, chosen + (n,) * k))
+
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Bins that any packing needs: by volume, and for every size k by the pieces that cannot share a bin with one of k."""
+    size = np.array(sorted(counts), np.int64)
+    if not len(size):
+        return 0
+    n = np.array([counts[s] for s in size.tolist()], np.int64)
+    number, volume = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(n * size))
+    half = np.searchsorted(size, capacity // 2, side="right")
+    best = -(-int(volume[-1]) // capacity)
+    for k in range(0, capacity // 2 + 1):
+        wide = max(int(np.searchsorted(size, capacity - k, side="right")), int(half))  # from here on pieces longer than capacity - k
+        alone, middle = int(number[-1] - number[wide]), int(number[wide] - number[half])
+        from_k = int(np.searchsorted(size, k))
+        small = int(volume[half] - volume[min(from_k, half)])
+        room = middle * capacity - int(volume[wide] - volume[half])
+        best = max(best, alone + middle + max(0, -(-(small - room) // capacity)))
+    return best
 
 
-def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
+def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, steps: int = STEPS) -> list[tuple[tuple[int, ...], int]]:
     """Plan of (filling, times) for a histogram of lengths, with as few bins as the search finds."""
     counts = {int(n): int(c) for n, c in counts.items() if c}
     if any(n < 1 or n > capacity for n in counts):
         raise ValueError("lengths must lie between 1 and the capacity")
     total = sum(n * c for n, c in counts.items())
-    bound = -(-total // capacity)
+    bound = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     best_bins = sum(t for _, t in best)
-    opened = 0
-
-    def branch(left: dict[int, int], plan: list, bins: int, waste: int):
-        """Depth first; explicit stack, as a plan can have thousands of steps."""
-        nonlocal best, best_bins, opened
-        stack = [(left, plan, bins, waste)]
-        while stack and best_bins > bound and opened < nodes:
-            left, plan, bins, waste = stack.pop()
-            opened += 1
-            order = sorted((n for n, c in left.items() if c), reverse=True)
-            if not order:
-                if bins < best_bins:
-                    best, best_bins = list(_unlink(plan)), bins
+    if best_bins == bound:
+        return best
+    state, path, bins, waste, opened = Fillings(counts, capacity), [], 0, 0, 1
+
+    def choices():
+        """(filling, times, waste) around the largest length: each filling as often as it goes, then less often."""
+        largest = state.largest()
+        allowed = (best_bins - 1) * capacity - total - waste  # more waste than this cannot beat the incumbent
+        fewer = 0
+        while largest:
+            more = False
+            for f in state.around(largest, allowed):
+                lost = capacity - sum(f)
+                times = min(state.left[n] // f.count(n) for n in set(f))
+                times = (min(times, allowed // lost) if lost else times) - fewer
+                if times > 0:
+                    more |= times > 1
+                    yield f, times, lost * times
+            if not more:
+                return
+            fewer += 1
+
+    open_nodes = [choices()]
+    while open_nodes and best_bins > bound and opened < nodes and state.steps < steps:
+        step = next(open_nodes[-1], None)
+        if step is not None:
+            filling, times, lost = step
+            path.append(step)
+            state.change(filling, times, len(path))
+            bins, waste, opened = bins + times, waste + lost, opened + 1
+            if state.largest():
+                open_nodes.append(choices())
                 continue
-            allowed = (best_bins - 1) * capacity - total - waste  # more waste than this cannot beat the incumbent
-            if allowed < 0:
-                continue
-            # the widest filling first on the stack, so that the one with the least waste is opened first
-            for f in reversed(fillings(left, order, order[0], capacity, min(allowed, capacity))[:4]):
-                after = dict(left)
-                f, times = _apply(after, f)
-                lost = (capacity - sum(f)) * times
-                if lost > allowed:  # fewer times still fit the bound
-                    one = capacity - sum(f)
-                    times = allowed // one
-                    if not times:
-                        continue
-                    after = dict(left)
-                    for n in f:
-                        after[n] -= times
-                    lost = one * times
-                stack.append((after, (plan, (f, times)), bins + times, waste + lost))
-
-    if best_bins > bound:
-        branch(dict(counts), None, 0, 0)
+            if bins < best_bins:
+                best, best_bins = [(f, t) for f, t, _ in path], bins
+        else:  # nothing left around this length: back to the node above
+            open_nodes.pop()
+        if path:
+            filling, times, lost = path.pop()
+            state.change(filling, -times, len(path))
+            bins, waste = bins - times, waste - lost
     return best
 
 
-def _unlink(plan):
-    out = []
-    while plan is not None:
-        plan, step = plan
-        out.append(step)
-    return reversed(out)
-
-
 def slots(plan: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     """Per length, in order of its pieces' numbers: first number, first sequence, and place in the sequence."""
     taken: dict[int, int] = {}
@@ -314,6 +373,6 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col:
     histogram = {r[0]: r[1] for r in by_salt.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     plan = slots(complete_bins(histogram, capacity))
     before = by_salt.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).drop("count")
-    inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
+    inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")
     numbered = salted.withColumn("r", F.row_number().over(inside)).join(before, ["length", "salt"]).withColumn("number", (F.col("before") + F.col("r") - 1).cast("long"))
     return numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number").mapInArrow(_place(plan), _PIECES + ", sequence_id long, offset long")

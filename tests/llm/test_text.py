@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 import zlib
@@ -85,6 +86,38 @@ def test_bin_completion_is_optimal_on_small_instances(seed):
     assert sum(t for _, t in plan) == _optimal(lengths, 100)
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_every_undominated_filling_is_enumerated(seed):
+    r = random.Random(seed)
+    counts = {n: r.randint(1, 3) for n in r.sample(range(3, 40), 7)}
+    state, largest = packing.Fillings(counts, 60), max(counts)
+    got = list(state.around(largest, 60))
+    stock = {n: c - (n == largest) for n, c in counts.items()}
+    want = set()
+    for picks in itertools.product(*(range(c + 1) for c in stock.values())):
+        rest = [n for n, k in zip(stock, picks) for _ in range(k)]
+        waste = 60 - largest - sum(rest)
+        outside = [n for n, k in zip(stock, picks) if stock[n] > k]
+        if waste >= 0 and not any(n <= waste for n in outside) and not any(m < n <= m + waste for m in rest for n in outside):
+            want.add((largest, *sorted(rest, reverse=True)))
+    if stock.get(60 - largest):
+        want = {(largest, 60 - largest)}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+
+
+def test_lower_bound_and_gain_over_best_fit():
+    assert packing.lower_bound({60: 3, 30: 1}, 100) == 3 and packing.lower_bound({}, 100) == 0
+    counts = {48: 2, 35: 2, 17: 4}  # best-fit fills 48 + 48 first
+    assert sum(t for _, t in packing.best_fit(counts, 100)) == 3 and packing.lower_bound(counts, 100) == 3
+    r = random.Random(1)
+    counts = {}
+    for _ in range(5000):
+        n = r.randint(1, 400)
+        counts[n] = counts.get(n, 0) + 1
+    assert sum(t for _, t in packing.complete_bins(counts, 400)) <= sum(t for _, t in packing.best_fit(counts, 400))
+
+
 def test_packing_of_nothing(empty, vocabulary):
     assert packing.pack(empty, vocabulary).count() == 0
 
