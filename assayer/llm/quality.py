@@ -1,16 +1,19 @@
 """Quality by importance resampling.
 
 Two generative models over hashed n-grams, one of target text (labelled quality 1, a bounded sample) and one of all raw
-text; a document's weight is the mean log ratio of its n-grams times LENGTH, so that long texts have no advantage.  Weights
-plus Gumbel noise rank the documents and the k best are the sample.  k is the number of documents whose weight passes the
-cut that best tells the labelled qualities apart.
+text, give every document a log importance weight: the log ratio of its n-grams, as of a text of LENGTH of them (its mean
+times LENGTH), which is the sampler's temperature.  Whole sums would grow with the text and leave nothing to chance; at
+LENGTH documents of the target's kind lie within a few units of each other, so the noise decides among them.  Weights plus
+Gumbel noise rank the documents and the k best are the sample, drawn without replacement in proportion to the weights.  k is
+a share of the documents: `share`, or else the share of good ones in a bounded sample of labels plus its standard error.
 
 n-grams are words, pairs of words and triples of shapes (capitals, lower case, digits, signs, a word said again), which
 carry what makes junk look like junk in any language.
 
-Defined cases: null text is the empty text, which has no n-grams, the least weight and is never selected; rows that repeat
-id and text share their fate; ties in the key are selected together; without labels of both kinds all documents with
-n-grams are selected; an empty table gives no rows; extra columns are kept by `select_documents` and ignored by `weigh`.
+Defined cases: null text is the empty text, which has no n-grams, the least weight and is never selected; very long texts
+are weighed whole; rows that repeat id and text share their fate; rows without an id have the noise of the id "None"; ties
+in the key are selected together; without labels of both kinds all documents with n-grams are selected; an empty table gives
+no rows; extra columns are kept by `select_documents`, whatever their names, and ignored by `weigh`.
 """
 
 from __future__ import annotations
@@ -21,16 +24,20 @@ from zlib import crc32
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayer.llm.common import keep, texts
 
-TARGET_ROWS = 20_000
+#: Labelled documents that the target model counts, and labels that the share of good ones is taken from, at most.
+TARGET_ROWS, LABEL_ROWS = 20_000, 20_000
 WORD_CELLS, PAIR_CELLS, SHAPES = 4096, 8192, 8
 CELLS = WORD_CELLS + PAIR_CELLS + SHAPES**3
-LENGTH, SEED, EMPTY = 256.0, 7, -1.0e6
+LENGTH, SEED, EMPTY = 8.0, 7, -1.0e6
 TOKENS_KEPT = 200_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _AGAIN = 7
+#: Columns that rows carry while they are ranked.
+WEIGHT, KEY = "_importance_log_weight", "_importance_gumbel_key"
 
 
 class Tokens(dict):
@@ -111,33 +118,25 @@ def fit(rows: DataFrame, labels: DataFrame) -> np.ndarray:
 
 
 def _weigh(ratios: np.ndarray):
+    """Rows with two more columns at their end: log weight and Gumbel key."""
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             ids = b.column("doc_id").to_pylist()
-            w = [round(weight(t.as_py(), ratios), 9) for t in b.column("text")]
+            w = [round(weight(t.as_py() or "", ratios), 9) for t in b.column("text")]
             key = [round(x + gumbel(i), 9) for x, i in zip(w, ids)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(w, pa.float64()), pa.array(key, pa.float64())], ["doc_id", "log_weight", "gumbel_key"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(w, pa.float64()), pa.array(key, pa.float64())], [*b.schema.names, WEIGHT, KEY])
     return run
 
 
-def best_cut(weights: DataFrame, labels: DataFrame, bins: int = 4096) -> float:
-    """Weight that best tells the labelled qualities apart: most good documents above, most others below."""
-    seen = weights.where(F.col("log_weight") > EMPTY).join(labels.where(F.col("quality").isNotNull()).select("doc_id", "quality"), "doc_id")
-    lo, hi = seen.agg(F.min("log_weight"), F.max("log_weight")).first()
-    if lo is None or lo == hi:
-        return EMPTY / 2
-    rows = seen.groupBy(F.width_bucket("log_weight", F.lit(lo), F.lit(hi), F.lit(bins)).alias("bin"), "quality").count().collect()  # at most 2 * bins rows
-    good, bad = np.zeros(bins + 2), np.zeros(bins + 2)
-    for b, q, n in rows:
-        (good if q == 1 else bad)[b] += n
-    if not good.sum() or not bad.sum():
-        return EMPTY / 2
-    below_good, below_bad = np.cumsum(good) / good.sum(), np.cumsum(bad) / bad.sum()
-    gain = below_bad - 3 * below_good  # losing a good document weighs three times as much as keeping a bad one
-    k = int(np.argmax(gain))
-    return lo + (hi - lo) * k / bins if gain[k] > 0 else EMPTY / 2
+def good_share(labels: DataFrame) -> float:
+    """Share of good documents in a bounded sample of labels plus its standard error; 1 where one kind is missing."""
+    sample = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABEL_ROWS)
+    n, good = sample.agg(F.count("*"), F.sum((F.col("quality") == 1).cast("long"))).first()
+    if not n or good in (0, n):
+        return 1.0
+    return min(1.0, good / n + (good / n * (1 - good / n) / n) ** 0.5)
 
 
 def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 4096, rounds: int = 8) -> float:
@@ -157,35 +156,28 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 4096, rounds:
     return lo
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray, float]:
-    """(doc_id, log_weight, gumbel_key) of every row, the log ratios and the key from which on rows are selected."""
-    rows = texts(docs, id_col, text_col)
-    ratios = fit(rows, labels)
-    weights = keep(rows.mapInArrow(_weigh(ratios), "doc_id long, log_weight double, gumbel_key double"), "weights")
-    cut = best_cut(weights, labels)
-    k = weights.where(F.col("log_weight") >= cut).count()
-    able = weights.where(F.col("log_weight") > EMPTY)
-    return weights, ratios, kth_largest(able, "gumbel_key", k) if k else float("inf")
+def _with_keys(rows: DataFrame) -> T.StructType:
+    return T.StructType([*rows.schema.fields, T.StructField(WEIGHT, T.DoubleType()), T.StructField(KEY, T.DoubleType())])
 
 
-def weigh(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, log_weight, gumbel_key, selected) of every row of docs."""
-    weights, _, cut = resample(docs, labels)
-    return weights.select("doc_id", "log_weight", "gumbel_key", ((F.col("gumbel_key") >= F.lit(cut)) & (F.col("log_weight") > EMPTY)).alias("selected"))
+def cut_of(weighed: DataFrame, share: float) -> float:
+    """The key of the last row that is selected."""
+    able = weighed.where(F.col(WEIGHT) > EMPTY)
+    k = int(np.ceil(able.count() * share))
+    return kth_largest(able, KEY, k) if k else float("inf")
 
 
-def select_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The selected rows of docs, all columns; weights are computed again where the rows are, so that no text is shuffled."""
-    _, ratios, cut = resample(docs, labels)
+def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float | None = None) -> DataFrame:
+    """(doc_id, log_weight, gumbel_key, selected) of every row of docs."""
+    rows = texts(docs, id_col, text_col)
+    ratios = fit(rows, labels)
+    weighed = keep(rows.mapInArrow(_weigh(ratios), _with_keys(rows)).drop("text"), "weights")
+    cut = cut_of(weighed, good_share(labels) if share is None else share)
+    return weighed.select("doc_id", F.col(WEIGHT).alias("log_weight"), F.col(KEY).alias("gumbel_key"), ((F.col(KEY) >= F.lit(cut)) & (F.col(WEIGHT) > EMPTY)).alias("selected"))
 
-    def run(batches):
-        import pyarrow as pa
 
-        for b in batches:
-            ids, column = b.column("doc_id").to_pylist(), b.column("text")
-            good = []
-            for i, t in zip(ids, column):
-                w = round(weight(t.as_py() or "", ratios), 9)
-                good.append(w > EMPTY and round(w + gumbel(i), 9) >= cut)
-            yield b.filter(pa.array(good, pa.bool_()))
-    return docs.mapInArrow(run, docs.schema)
+def select_documents(docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
+    """The selected rows of docs, all columns; rows are written with their keys once, so texts are weighed once and never shuffled."""
+    weighed = keep(docs.mapInArrow(_weigh(fit(texts(docs), labels)), _with_keys(docs)), "weighed")
+    cut = cut_of(weighed, good_share(labels) if share is None else share)
+    return weighed.where((F.col(KEY) >= F.lit(cut)) & (F.col(WEIGHT) > EMPTY)).drop(WEIGHT, KEY)
