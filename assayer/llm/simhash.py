@@ -10,7 +10,8 @@ whatever the size of the corpus; inside an anchor pairs are compared exactly and
 each local component leaves it.
 
 Defined cases: null text is the empty text; a text without words has fingerprint zero and is linked like any other; one
-or two words form one shingle; repeated rows stay separate rows with the same component; an empty table gives no rows;
+or two words form one shingle; very long texts are hashed whole; null ids are ids like any other, but never the smallest
+unless a component has no other; repeated rows stay separate rows with the same component; an empty table gives no rows;
 extra columns are ignored.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayer.llm.common import keep, texts
 
@@ -138,16 +140,27 @@ def stars(anchor: np.ndarray, fp: np.ndarray, max_bits: int = MAX_BITS) -> tuple
     return fp[leaf], fp[label[leaf]]
 
 
+def _links(anchor: np.ndarray, fp: np.ndarray, max_bits: int):
+    import pyarrow as pa
+
+    u, v = stars(anchor, fp, max_bits)
+    pairs = np.unique(np.stack([u, v], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["u", "v"])
+
+
 def _compare(max_bits):
+    """Links inside each anchor, of rows sorted by anchor: a batch at a time, with the rows of its last anchor carried into the next."""
     def run(batches):
-        import pyarrow as pa
-
-        parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
-        if parts:
-            u, v = stars(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), max_bits)
-            pairs = np.unique(np.stack([u, v], axis=1), axis=0)
-            for s in range(0, len(pairs), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[s:s + 100_000, 0].copy()), pa.array(pairs[s:s + 100_000, 1].copy())], ["u", "v"])
+        none = np.zeros(0, np.int64)
+        held = [none, none]
+        for b in batches:
+            anchor, fp = (np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, b.columns))
+            done = int(np.searchsorted(anchor, anchor[-1])) if len(anchor) else 0
+            held = [anchor[done:], fp[done:]]
+            if done:
+                yield _links(anchor[:done], fp[:done], max_bits)
+        if len(held[0]):
+            yield _links(*held, max_bits)
     return run
 
 
@@ -177,16 +190,47 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of docs; max_bits is 0, 1 or 2."""
+def fingerprint_classes(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fp, root): smallest fingerprint that each one is linked with, directly or through others."""
     if not 0 <= max_bits <= 2:
         raise ValueError("the anchors' radius serves thresholds of 0 to 2 bits")
+    members = keep(fingerprints.select("fp").distinct(), "members")
+    cells = members.mapInArrow(_replicate, "anchor long, fp long").repartition("anchor").sortWithinPartitions("anchor")
+    roots = components(cells.mapInArrow(_compare(max_bits), "u long, v long"))
+    return members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of docs; max_bits is 0, 1 or 2."""
     rows = keep(texts(docs, id_col, text_col).mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    members = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "members")
-    cells = members.select("fp").mapInArrow(_replicate, "anchor long, fp long").repartition("anchor")
-    links = cells.mapInArrow(_compare(max_bits), "u long, v long")
-    roots = components(links)
-    placed = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    placed = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")).join(fingerprint_classes(rows, max_bits), "fp")
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = placed.join(smallest, "root").select("fp", "component_id")
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Columns that rows carry while one of each group is chosen.
+ROW, FINGERPRINT = "_simhash_row", "_simhash_fp"
+
+
+def _with_fingerprints(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        fp = np.fromiter((fingerprint(t.as_py() or "") for t in b.column("text")), np.uint64, b.num_rows)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], [*b.schema.names, FINGERPRINT])
+
+
+def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of docs for each group of linked fingerprints: the one with the smallest id (rows without one come last), then the smallest text.
+
+    Rows are written once with a number of their own, so rows that share an id, or have none, are told apart; of rows that are
+    equal in id and text one stays.
+    """
+    schema = T.StructType([*docs.schema.fields, T.StructField(ROW, T.LongType()), T.StructField(FINGERPRINT, T.LongType())])
+    rows = keep(docs.withColumn(ROW, F.monotonically_increasing_id()).mapInArrow(_with_fingerprints, schema), "numbered")
+    short = rows.select(FINGERPRINT, ROW, "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_simhash_text")).withColumnRenamed(FINGERPRINT, "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_simhash_text", ROW)).alias("first")
+    of_fp = short.groupBy("fp").agg(first)
+    stay = of_fp.join(fingerprint_classes(short, max_bits), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return rows.join(stay, ROW, "left_semi").select(*docs.columns)
