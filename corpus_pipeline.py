@@ -14,40 +14,54 @@ from assayer.llm.decontaminate import drop_contaminated
 from assayer.llm.packing import pack
 from assayer.llm.quality import select_documents
 from assayer.llm.queries import tokenizer_path
-from assayer.llm.simhash import simhash_components
+from assayer.llm.simhash import one_of_each
 from assayer.llm.suffix_dedup import removed_spans
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling selects."""
+    """Documents that importance resampling selects.
+
+    Null, empty and wordless texts are never selected; repeated rows share their fate; without labels of both kinds all other
+    rows stay; rows without an id are selected by their text's weight like any other.
+    """
     return select_documents(docs, load(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash component."""
-    groups = keep(simhash_components(docs), "groups")
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id"))
-    kept = docs.join(stay.distinct(), F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi")
-    # ids are keys; only where they are not does a group hold several rows with its smallest id
-    return kept.dropDuplicates(["doc_id"]) if stay.count() > stay.distinct().count() else kept
+    """One document of each group of linked SimHash fingerprints: the one with the smallest id.
+
+    Groups go by text alone, so rows that share an id, or have none, are each judged by their own text; rows without an id
+    stay only where a group has no other; of rows equal in id and text one stays.
+    """
+    return one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that a document with a smaller id has too."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = removed_spans(docs, with_text=True, carry=carry).withColumn("text", F.col("kept"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """Documents without the passages that a document with a smaller id has too; n_chars, if there, is counted again.
+
+    All rows stay, null texts as empty ones; rows that share an id never remove each other; rows without an id count as
+    smaller than all others.
+    """
+    carried = [c for c in docs.columns if c not in ("doc_id", "text")]
+    private = {c: f"_passage_{k}" for k, c in enumerate(carried)}
+    out = removed_spans(docs.withColumnsRenamed(private), with_text=True, carry=tuple(private.values()))
+    text = F.col("kept")
+    back = {"doc_id": F.col("doc_id"), "text": text, **{c: F.col(p) for c, p in private.items()}}
+    if "n_chars" in private:
+        back["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(back[c].alias(c) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark.
+
+    Each row is judged by its own text, whatever its id; null and empty texts hold none; an empty benchmark drops nothing.
+    """
     return drop_contaminated(docs, load(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences."""
+    """Pieces of all documents, packed into sequences; null and empty texts are one piece of their end token."""
     return pack(docs, tokenizer_path())
 
 
