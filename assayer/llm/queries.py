@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm.common import load
+from assayer.llm.common import keep, load
 from assayer.llm.decontaminate import decontamination_report
 from assayer.llm.html_text import extract
 from assayer.llm.licenses import scan
@@ -45,7 +45,7 @@ def op5_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_features(store(load(spark, sf_dir, "documents")))
+    return read_features(keep(store(load(spark, sf_dir, "documents")), "media"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
