@@ -43,6 +43,15 @@ def test_many_shards_and_hot_anchors(spark, small_docs, monkeypatch):
     assert result(suffix_dedup.removed_spans(df)) == brute_spans(rows)
 
 
+def test_rows_without_an_id_come_first(spark):
+    a, b = "first passage " * 8, "second passage, which is longer " * 5
+    rows = [(None, a), (None, a), (None, b + a), (7, b), (-5, a), (None, None)]
+    got = [(x["doc_id"], x["kept"]) for x in suffix_dedup.removed_spans(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()]
+    assert len(got) == 6 and (7, "") in got and (-5, "") in got and (None, "") in got
+    lone = [t for i, t in got if i is None and t]
+    assert b + a in lone and lone.count(a) in (0, 2) or lone.count(a) == 2 and b in "".join(lone)
+
+
 def test_kept_text_and_carried_columns(docs):
     out = suffix_dedup.removed_spans(docs, with_text=True, carry=("lang", "shard"))
     r = {x["doc_id"]: x for x in out.collect()}
@@ -116,6 +125,20 @@ def test_simhash_equals_brute_force(docs, small_docs):
     assert sorted(map(tuple, simhash.simhash_components(docs).select("doc_id", "fingerprint", "component_id").collect())) == want
 
 
+def test_links_do_not_depend_on_batches(monkeypatch):
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    base = r.integers(-(1 << 62), 1 << 62, 12)
+    fp = np.unique(np.concatenate([base ^ (np.int64(1) << np.int64(k)) for k in range(0, 40, 3)]))
+    row, anchor = simhash.anchors(fp.view(np.uint64))
+    order = np.argsort(anchor.view(np.int64), kind="stable")
+    a, f = anchor.view(np.int64)[order], fp[row][order]
+    parts = lambda n: [pa.RecordBatch.from_arrays([pa.array(a[s:s + n]), pa.array(f[s:s + n])], ["anchor", "fp"]) for s in range(0, len(a), n)]
+    links = lambda n: {(x["u"], x["v"]) for b in simhash._compare(2)(iter(parts(n))) for x in b.to_pylist()}
+    assert links(7) == links(len(a)) and len(links(7)) > 10 and not list(simhash._compare(2)(iter([])))
+
+
 def test_chains_are_followed(spark):
     """A chain of links two bits long each is one component."""
     fps = [0]

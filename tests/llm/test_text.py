@@ -146,6 +146,37 @@ def test_licences_need_agreeing_postings(spark):
     assert [got[i] for i in range(len(texts))] == ["", "reserved", "gpl", "", "", "apache-2.0", "proprietary,reserved", "mit", "mpl-2.0", "cc-by,cc-by-nc-4.0"]
 
 
+def test_labels_equal_brute_force(spark):
+    def brute(text):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+        labels = {label for p, label in licenses.PHRASES.items() if any(words[k:k + len(p.split())] == p.split() for k in range(len(words)))}
+        for label, key, notice in licenses.NOTICES:
+            n, k = notice.split(), key.split()
+            at = next(i for i in range(len(n)) if n[i:i + len(k)] == k)
+            rare = [i for i, w in enumerate(n) if w not in licenses.COMMON]
+            for s in range(-len(n), len(words)):
+                there = lambda i: 0 <= s + i < len(words) and words[s + i] == n[i]
+                agree = [i for i in rare if there(i)]
+                outside = [i for i in rare if not at <= i < at + len(k)]
+                if all(there(at + i) for i in range(len(k))) and len(agree) >= licenses.AGREE and (not outside or set(outside) & set(agree)):
+                    labels.add(label)
+        return ",".join(sorted(labels))
+
+    r = random.Random(6)
+    vocabulary = sorted({w for _, _, n in licenses.NOTICES for w in n.split()})
+    texts = [n for _, _, n in licenses.NOTICES] + [" ".join(n for _, _, n in licenses.NOTICES)]
+    for _ in range(150):
+        w = " ".join(r.choice(licenses.NOTICES)[2] for _ in range(r.randint(1, 3))).split()
+        for _ in range(r.randint(0, 12)):
+            k = r.randrange(len(w))
+            w[k:k + r.choice([0, 1, 1])] = [r.choice(vocabulary)]
+        a = r.randrange(len(w))
+        texts.append(" ".join(w[a:a + r.randint(3, 60)]) + r.choice([".", "", ", and so on"]))
+    got = {x["doc_id"]: x["labels"] for x in licenses.scan(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+    assert len({x for v in got.values() for x in v.split(",")}) > 12
+
+
 def test_licences_of_nothing(empty):
     assert licenses.scan(empty).count() == 0
 
@@ -155,25 +186,62 @@ def test_licences_of_nothing(empty):
 def test_leaks_with_substitutions(spark, empty):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
-    items = [(k, " ".join(word() for _ in range(30))) for k in range(6)] + [(90, None), (91, "too short"), (92, " ".join(word() for _ in range(6)))]
+    items = [(k, " ".join(word() for _ in range(30))) for k in range(6)] + [(90, None), (91, "..."), (92, " ".join(word() for _ in range(6)))]
     swap = lambda text, step: " ".join(word() if i % step == step - 1 else w for i, w in enumerate(text.split()))
     pad = lambda: " ".join(word() for _ in range(40))
     docs = [(1, f"{pad()} {items[0][1].upper()}, {pad()}", True), (2, f"{pad()} {swap(items[1][1], 7)} {pad()}", True), (3, pad(), False), (4, f"{pad()} {swap(items[2][1], 2)}", False), (5, None, False), (6, "", False),
-            (7, " ".join(items[3][1].split()[:14]), True), (8, " ".join(items[3][1].split()[:6]), False), (9, f"x {items[8][1]} y", True), (10, items[0][1], True), (10, items[0][1], True), (None, items[0][1], False)]
-    d = spark.createDataFrame([x[:2] for x in docs], "doc_id long, text string").selectExpr("*", "1 as at", "2 as seed", "'h' as h")
+            (7, " ".join(items[3][1].split()[:14]), True), (8, " ".join(items[3][1].split()[:6]), False), (9, f"x {items[8][1]} y", True), (10, items[0][1], True), (10, items[0][1], True), (None, items[0][1], True), (None, pad(), False), (10, pad(), False)]
+    d = spark.createDataFrame([x[:2] for x in docs], "doc_id long, text string").selectExpr("*", "1 as at", "2 as seed", "'h' as h", "7 as leak_id", "8 as text_hash", "9 as _leak")
     b = spark.createDataFrame(items, "item_id long, text string")
     got = [(x["doc_id"], x["contaminated"]) for x in decontaminate.decontamination_report(d, b).collect()]
     assert sorted(got, key=str) == sorted(((i, c) for i, _, c in docs), key=str)
     kept = decontaminate.drop_contaminated(d, b)
-    assert kept.columns == d.columns and sorted((x["doc_id"] for x in kept.collect()), key=str) == sorted((i for i, _, c in docs if not c), key=str)
+    assert kept.columns == d.columns and sorted(map(str, ((x["doc_id"], x["text"]) for x in kept.collect()))) == sorted(str((i, t)) for i, t, c in docs if not c)
     assert decontaminate.decontamination_report(d, b.limit(0)).where("contaminated").count() == 0
     assert decontaminate.decontamination_report(empty, b).count() == 0
 
 
+def brute_leaks(docs, items):
+    """(doc, item) where a window of 13 aligned tokens, or the whole item, agrees in 80 %."""
+    split = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    out = set()
+    for d, text in docs:
+        a = split(text)
+        for k, item in items:
+            b = split(item)
+            n = min(13, len(b))
+            for i in range(len(b) - n + 1):
+                if n and any(5 * sum(x == y for x, y in zip(a[p:p + n], b[i:i + n])) >= 4 * n for p in range(len(a) - n + 1)):
+                    out.add((d, k))
+    return out
+
+
+def test_leaks_equal_brute_force(spark):
+    r = random.Random(12)
+    vocabulary = [a + b for a in "bcdfgh" for b in "aeiou"]
+    items = [(n * 100 + k, " ".join(r.choice(vocabulary) for _ in range(n))) for n in (1, 2, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 20) for k in range(3 if n > 3 else 1)]
+    docs = []
+    for i, (_, t) in enumerate(items * 4):
+        w = t.split()
+        for k in r.sample(range(len(w)), min(len(w), r.randint(0, 4))):
+            w[k] = "zz" + w[k]
+        docs.append((i, " ".join([r.choice(vocabulary) for _ in range(9)] + w + [r.choice(vocabulary) for _ in range(5)])))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x["doc_id"], x["item_id"]) for x in got.collect()} == brute_leaks(docs, items)
+
+
+def test_masks_are_complete():
+    for n in range(1, 14):
+        masks = decontaminate.short_masks(n) if n < 13 else decontaminate.MASKS
+        for bad in itertools.combinations(range(n), decontaminate.tolerated(n)):
+            assert any(not {at + o for o in m} & set(bad) for m in masks for at in (range(n - max(m)) if n == 13 else [0])), (n, bad)
+
+
 def test_shuffled_join_gives_the_same(spark, sf, monkeypatch):
     d, b = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     want = sorted(map(tuple, decontaminate.contaminated(d, b).collect()))
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, decontaminate.contaminated(d, b).collect())) == want
 
 
@@ -235,6 +303,27 @@ def test_extraction(spark):
     assert html_text.extract(df.limit(0)).count() == 0 and html_text.extract(df).count() == len(same + rows)
 
 
+def test_hinted_blocks_of_an_article_are_the_hosts_to_decide(spark):
+    share = "<div class='share-bar'>Tell all of your friends about this page right now please</div>"
+    page = lambda i: f"<article><p>story {i} starts with words {i}</p>{share}<section class='search-study'>how people search in town {i}</section><div class='share-prices'>prices of day {i}</div><div class='ad'>buy {i}</div><p>the end of story {i}</p></article>"
+    rows = [(i, f"https://h.example/{i}", page(i)) for i in range(7)] + [(50 + i, f"https://few.example/{i}", page(i)) for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(7):
+        assert got[i] == f"story {i} starts with words {i}\nhow people search in town {i}\nprices of day {i}\nthe end of story {i}"
+    assert all("Tell all of your friends" in got[50 + i] for i in range(3))
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    n = 1 << 20
+    for page in ("<a " * (n // 3), "<a \">\" " * (n // 8), "<p class='" * (n // 10), "<div>" * (n // 5), "<div>" * 20_000 + "</p></ul>" * 40_000, "<!--" * (n // 4), "<" * n, "<script>" * (n // 8), "<a '" * 9 + "x>" * (n // 2)):
+        began = time.time()
+        html_text.blocks(page)
+        assert time.time() - began < 5, page[:20]
+    assert html_text.blocks("<p>1 < 2 and <b>3 > 2</b><p title='a>b'>x<y")[0] == ["1 < 2 and 3 > 2", "x<y"]
+
+
 def test_repeated_tokens_equal_brute_force():
     import numpy as np
 
