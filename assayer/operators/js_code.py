@@ -856,11 +856,11 @@ def parse_files(files: DataFrame) -> DataFrame:
 
 def tree_signals(found: DataFrame) -> DataFrame:
     """Signals of the findings, in the shape of the line rules' signals."""
-    from assayer.functions.text import signal_id
+    from assayer.functions.text import piece, signal_id
 
     names = F.create_map(*(F.lit(x) for kv in CATEGORIES.items() for x in kv))
     rows = found.where("kind is not null").withColumn("category", names[F.col("kind")])
-    return rows.select("ecosystem", "package", "version", signal_id(F.lit("recon"), F.col("category"), F.concat("path", F.lit(":"), F.col("line").cast("string"))).alias("id"), F.lit("recon").alias("source"), "category", F.lit("high").alias("severity"), F.lit(2).alias("sev_rank"), F.concat(F.lit("syntax tree: "), "name").alias("description"), F.array(F.struct("excerpt", F.col("path").alias("file"), "line")).alias("evidence"))
+    return rows.select("ecosystem", "package", "version", signal_id(F.lit("recon"), F.col("category"), F.concat("path", F.lit(":"), F.col("line").cast("string"))).alias("id"), F.lit("recon").alias("source"), "category", F.lit("high").alias("severity"), F.lit(2).alias("sev_rank"), F.concat(F.lit("syntax tree: "), "name").alias("description"), F.array(piece(F.col("excerpt"), F.col("path"), F.col("line"), F.col("name"))).alias("evidence"))
 
 
 def scan_with_trees(files: DataFrame) -> DataFrame:

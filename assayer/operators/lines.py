@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import fixed
-from assayer.functions.text import dossier_key, excerpt, first_group, is_packed, matches, severity_rank, signal_id
+from assayer.functions.text import dossier_key, excerpt, first_group, is_packed, matches, piece, severity_rank, signal_id
 
 KEY = ("ecosystem", "package", "version", "path")
 
@@ -66,9 +66,14 @@ FACTS = {"sensitive": fixed.SENSITIVE_READ, "network": fixed.NETWORK, "ci": fixe
 
 def _any_rule() -> Column:
     text = F.col("text")
-    cased = "|".join(f"(?:{p})" for p in (fixed.EVAL_CALL, fixed.COMMAND_CALL, fixed.NAMED_CREDENTIAL, fixed.BULK_ENVIRONMENT, fixed.PACKED_STRING, fixed.SENSITIVE_READ, fixed.NETWORK, fixed.CI_CHECK))
+    cased = "|".join(f"(?:{p})" for p in (fixed.EVAL_CALL, fixed.COMMAND_CALL, fixed.NAMED_CREDENTIAL, fixed.BULK_ENVIRONMENT, fixed.SENSITIVE_READ, fixed.NETWORK, fixed.CI_CHECK))
     free = "|".join(f"(?:{p})" for p in (fixed.EXFIL_CHANNEL, fixed.SELF_PUBLISH, fixed.NPMRC_TOKEN))
-    return matches(text, cased) | matches(text, free, True)
+    low = F.lower(text)
+    # what a match holds in any case; the patterns run on the few texts that hold one
+    likely = F.lit(False)
+    for word in fixed.RULE_WORDS:
+        likely = likely | low.contains(word)
+    return (likely & (matches(text, cased) | matches(text, free, True))) | matches(text, fixed.PACKED_STRING)
 
 
 def hits(files: DataFrame) -> DataFrame:
@@ -86,14 +91,14 @@ def line_signals(found: DataFrame) -> DataFrame:
     rows = found.where(~F.col("rule").startswith("fact:"))
     blob = F.concat(F.substring(first_group("line", fixed.PACKED_STRING, 1), 1, fixed.BLOB_SHOWN), F.lit("..."))
     shown = F.when(F.col("rule") == "packed-string-blob", blob).otherwise(excerpt("line"))
-    return _signals(rows, F.concat("path", F.lit(":"), F.col("line_no").cast("string")), F.array(F.struct(shown.alias("excerpt"), F.col("path").alias("file"), F.col("line_no").alias("line"))))
+    return _signals(rows, F.concat("path", F.lit(":"), F.col("line_no").cast("string")), F.array(piece(shown, F.col("path"), F.col("line_no"))))
 
 
 def cooccurrence(found: DataFrame) -> DataFrame:
     """Files whose first sensitive read, or first build-machine check, meets a network call: one aggregation."""
     first = lambda k: F.min(F.when(F.col("rule") == f"fact:{k}", F.struct("line_no", "line")))
     files = found.where(F.col("rule").startswith("fact:")).groupBy(*KEY).agg(*(first(k).alias(k) for k in FACTS)).where("network is not null")
-    ev = lambda k: F.struct(excerpt(F.col(f"{k}.line")).alias("excerpt"), F.col("path").alias("file"), F.col(f"{k}.line_no").alias("line"))
+    ev = lambda k: piece(excerpt(F.col(f"{k}.line")), F.col("path"), F.col(f"{k}.line_no"))
     pairs = F.array(F.when(F.col("sensitive").isNotNull(), F.struct(F.lit("sensitive-data-network-cooccurrence").alias("rule"), F.array(ev("sensitive"), ev("network")).alias("evidence"))),
                     F.when(F.col("ci").isNotNull(), F.struct(F.lit("ci-sandbox-evasion").alias("rule"), F.array(ev("ci"), ev("network")).alias("evidence"))))
     rows = files.select(*KEY, F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("p")).select(*KEY, "p.rule", "p.evidence")
@@ -106,6 +111,11 @@ def _signals(rows: DataFrame, discriminator: Column, evidence: Column) -> DataFr
     return rows.select("ecosystem", "package", "version", signal_id(F.lit("recon"), F.col("rule"), discriminator).alias("id"), F.lit("recon").alias("source"), F.col("rule").alias("category"), meant["severity"].alias("severity"), severity_rank(meant["severity"]).alias("sev_rank"), meant["description"].alias("description"), evidence.alias("evidence"))
 
 
+def rule_table(spark) -> DataFrame:
+    """(category, severity, meaning) of the line rules."""
+    return spark.createDataFrame([(k, s, d) for k, (s, d) in MEANING.items()], "category string, severity string, meaning string")
+
+
 def scan_javascript(files: DataFrame) -> DataFrame:
     """All line signals and co-occurrences of source files."""
     found = hits(files)
@@ -115,7 +125,7 @@ def scan_javascript(files: DataFrame) -> DataFrame:
 def lifecycle_signals(scripts: DataFrame) -> DataFrame:
     """Install scripts (ecosystem, package, version, step, command) that feed a download or a decoded text to a shell."""
     bad = scripts.where(matches("command", fixed.SHELL_ABUSE.replace(".*", "[^\\n]*"), True))
-    ev = F.array(F.struct(F.col("command").alias("excerpt"), F.lit("package.json").alias("file"), F.lit(None).cast("int").alias("line")))
+    ev = F.array(piece(F.col("command"), F.lit("package.json"), detail=F.col("step")))
     return bad.select("ecosystem", "package", "version", signal_id(F.lit("recon"), F.lit("lifecycle-script-abuse"), F.concat("package", F.lit(":"), "step")).alias("id"), F.lit("recon").alias("source"), F.lit("lifecycle-script-abuse").alias("category"), F.lit("high").alias("severity"), F.lit(2).alias("sev_rank"), F.concat(F.lit("`"), "step", F.lit("` runs a download or a decoded text in a shell")).alias("description"), ev.alias("evidence"))
 
 
@@ -157,7 +167,7 @@ def coverage_gaps(files: DataFrame, meta: DataFrame) -> DataFrame:
     held = meta.select(*keys, F.when(~listed.isin("[]", "false", "{}", '""', "0"), listed).alias("listed")).join(nested, keys, "full").where("listed is not null or nested")
     bundled = held.select(*keys, F.lit("bundled").alias("what"), F.lit("bundled dependencies were not scanned").alias("description"), F.coalesce("listed", F.lit("node_modules/")).alias("excerpt"))
     both = over.unionByName(bundled)
-    return both.select(*keys, signal_id(F.lit("recon"), F.lit("scan-coverage-gap"), F.col("what")).alias("id"), F.lit("recon").alias("source"), F.lit("scan-coverage-gap").alias("category"), F.lit("low").alias("severity"), F.lit(0).alias("sev_rank"), "description", F.array(F.struct("excerpt", F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"))).alias("evidence"))
+    return both.select(*keys, signal_id(F.lit("recon"), F.lit("scan-coverage-gap"), F.col("what")).alias("id"), F.lit("recon").alias("source"), F.lit("scan-coverage-gap").alias("category"), F.lit("low").alias("severity"), F.lit(0).alias("sev_rank"), "description", F.array(piece(F.col("excerpt"), detail=F.col("what"))).alias("evidence"))
 
 
 def code_context(evidence: DataFrame, files: DataFrame) -> DataFrame:

