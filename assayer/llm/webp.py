@@ -4,9 +4,10 @@ The decoder reads prefix codes (simple and code-length coded, with meta prefix c
 and inverts the predictor, cross-colour, subtract-green and palette transforms.  Pixels come back as an array of
 (height, width, 4) samples in the order alpha, red, green, blue.
 
-The encoder stores a payload as pixels of four 8-bit samples, with prefix codes by frequency for the symbols that carry
-references and cache entries (green) and of one length for the other channels, references to runs seen before, a colour cache where it pays, a palette or whichever other transform pays.  Images with one group of codes are
-decoded by array operations, those with meta prefix codes symbol by symbol.
+The encoder stores a payload as pixels of four 8-bit samples.  References to runs seen before and the colour cache are
+used where they stand for enough pixels; prefix codes by frequency then carry them, beside codes of one length.  A palette
+or another transform is used where it pays.  Images with one group of codes are decoded by array operations, those with
+meta prefix codes symbol by symbol.
 
 Layout facts of the format (RFC 9649) are marked as fixed values.
 """
@@ -38,8 +39,8 @@ SLICE = 1 << 16
 LONGEST, MATCH, MOST, REACH = 12, 8, 4096, (1 << 20) - 120
 #: Pixels that the choice of transforms looks at.
 SAMPLE = 512
-#: Share of the pixels that must be in the colour cache for it to pay.
-CACHE_SHARE = 0.08
+#: Share of the pixels that the colour cache, or references, must stand for to pay for their codes.
+CACHE_SHARE, REFERENCE_SHARE = 0.15, 0.05
 #: Pixels of a row that the encoder writes, and the largest side of an image.
 WIDTH, MAX_SIDE = 1024, 16384
 
@@ -719,6 +720,8 @@ def put_image(out: Writer, argb: np.ndarray, top: bool) -> list[np.ndarray]:
     """Write the codes of an image; values and widths, in their order, of what follows them."""
     n = len(argb)
     runs = matches(argb)
+    if sum(m for _, m, _ in runs) < REFERENCE_SHARE * n:
+        runs = []
     literal = np.ones(n, bool)
     for i, m, _ in runs:
         literal[i:i + m] = False
@@ -748,14 +751,14 @@ def put_image(out: Writer, argb: np.ndarray, top: bool) -> list[np.ndarray]:
         l_symbol, l_extra, l_bits = _symbols(length)
         d_symbol, d_extra, d_bits = _symbols(back + 120)
         counts = counts + np.bincount(256 + l_symbol, minlength=len(counts))
-    codes.append(put_code(out, counts))
+    codes.append(put_code(out, counts) if runs or cache_bits else flat_code(out, np.flatnonzero(counts), GREEN_CODES))
     codes += [flat_code(out, np.flatnonzero(c) if c.any() else np.zeros(1, np.int64), CHANNEL_CODES) for c in rest]
     codes.append(put_code(out, np.bincount(d_symbol, minlength=DISTANCE_CODES) if runs else np.zeros(DISTANCE_CODES, np.int64)))
     # five fields for each token: literal channels, or length and distance with their extra bits
     value, size = np.zeros((len(place) + len(start), 5), np.int64), np.zeros((len(place) + len(start), 5), np.int64)
     mine = np.arange(len(place)) + np.searchsorted(start, place)
     theirs = np.arange(len(start)) + np.searchsorted(place, start)
-    value[mine, 0], size[mine, 0] = codes[0][0][green], codes[0][1][green]
+    value[mine, 0], size[mine, 0] = codes[0][0][green], codes[0][1][green] if runs or cache_bits else codes[0][1]
     plain = mine[~hit] if cache_bits else mine
     for f, c in ((1, 2), (2, 0), (3, 3)):
         channel = missed[:, c]
