@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import gc
 import shutil
 import tempfile
@@ -56,6 +58,28 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: workers are reused, and the next stage counts what this one kept."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """A function over batches that gives its memory back when its partition ends."""
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return wrapped
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import keep, texts
+from assayer.llm.common import keep, texts, tidy
 
 CAPACITY = 4096
 END_ID = 1
@@ -140,7 +140,7 @@ def _cut(path: str, capacity: int):
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most `capacity` tokens of every document."""
-    return texts(docs, id_col, text_col).mapInArrow(_cut(tokenizer_path, capacity), _PIECES)
+    return texts(docs, id_col, text_col).mapInArrow(tidy(_cut(tokenizer_path, capacity)), _PIECES)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

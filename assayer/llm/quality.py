@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.llm.common import keep, texts
+from assayer.llm.common import keep, texts, tidy
 
 #: Labelled documents that the target model counts, and labels that the share of good ones is taken from, at most.
 TARGET_ROWS, LABEL_ROWS = 20_000, 20_000
@@ -110,7 +110,7 @@ def gumbel(doc) -> float:
 def fit(rows: DataFrame, labels: DataFrame) -> np.ndarray:
     """Log ratios of all cells: raw counts over every document, target counts over a bounded sample of labelled ones."""
     ids = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_ROWS).collect()
-    sums = rows.mapInArrow(_count(frozenset(r[0] for r in ids)), "cell long, raw long, target long").groupBy("cell").agg(F.sum("raw"), F.sum("target")).collect()  # CELLS rows
+    sums = rows.mapInArrow(tidy(_count(frozenset(r[0] for r in ids))), "cell long, raw long, target long").groupBy("cell").agg(F.sum("raw"), F.sum("target")).collect()  # CELLS rows
     raw, target = np.zeros(CELLS), np.zeros(CELLS)
     for cell, r, t in sums:
         raw[cell], target[cell] = r, t
@@ -171,13 +171,13 @@ def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(doc_id, log_weight, gumbel_key, selected) of every row of docs."""
     rows = texts(docs, id_col, text_col)
     ratios = fit(rows, labels)
-    weighed = keep(rows.mapInArrow(_weigh(ratios), _with_keys(rows)).drop("text"), "weights")
+    weighed = keep(rows.mapInArrow(tidy(_weigh(ratios)), _with_keys(rows)).drop("text"), "weights")
     cut = cut_of(weighed, good_share(labels) if share is None else share)
     return weighed.select("doc_id", F.col(WEIGHT).alias("log_weight"), F.col(KEY).alias("gumbel_key"), ((F.col(KEY) >= F.lit(cut)) & (F.col(WEIGHT) > EMPTY)).alias("selected"))
 
 
 def select_documents(docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
     """The selected rows of docs, all columns; rows are written with their keys once, so texts are weighed once and never shuffled."""
-    weighed = keep(docs.mapInArrow(_weigh(fit(texts(docs), labels)), _with_keys(docs)), "weighed")
+    weighed = keep(docs.mapInArrow(tidy(_weigh(fit(texts(docs), labels))), _with_keys(docs)), "weighed")
     cut = cut_of(weighed, good_share(labels) if share is None else share)
     return weighed.where((F.col(KEY) >= F.lit(cut)) & (F.col(WEIGHT) > EMPTY)).drop(WEIGHT, KEY)

@@ -20,9 +20,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from assayer.llm.common import keep, texts
+from assayer.llm.common import keep, texts, tidy
 
 SEED = 42
 SHINGLE = 3
@@ -202,23 +201,15 @@ def fingerprint_classes(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> Da
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs; max_bits is 0, 1 or 2."""
-    rows = keep(texts(docs, id_col, text_col).mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
+    rows = keep(texts(docs, id_col, text_col).mapInArrow(tidy(_fingerprints), "doc_id long, fp long"), "fingerprints")
     placed = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")).join(fingerprint_classes(rows, max_bits), "fp")
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = placed.join(smallest, "root").select("fp", "component_id")
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Columns that rows carry while one of each group is chosen.
-ROW, FINGERPRINT = "_simhash_row", "_simhash_fp"
-
-
-def _with_fingerprints(batches):
-    import pyarrow as pa
-
-    for b in batches:
-        fp = np.fromiter((fingerprint(t.as_py() or "") for t in b.column("text")), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], [*b.schema.names, FINGERPRINT])
+#: Column that rows carry while one of each group is chosen.
+ROW = "_simhash_row"
 
 
 def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -227,10 +218,11 @@ def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     Rows are written once with a number of their own, so rows that share an id, or have none, are told apart; of rows that are
     equal in id and text one stays.
     """
-    schema = T.StructType([*docs.schema.fields, T.StructField(ROW, T.LongType()), T.StructField(FINGERPRINT, T.LongType())])
-    rows = keep(docs.withColumn(ROW, F.monotonically_increasing_id()).mapInArrow(_with_fingerprints, schema), "numbered")
-    short = rows.select(FINGERPRINT, ROW, "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_simhash_text")).withColumnRenamed(FINGERPRINT, "fp")
+    rows = keep(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    # Python sees a row's number and text and returns its number and fingerprint; all else stays with Spark
+    marks = keep(rows.select(F.col(ROW).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(_fingerprints), "doc_id long, fp long").withColumnRenamed("doc_id", ROW), "marks")
+    short = rows.select(ROW, "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_simhash_text"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_simhash_text", ROW)).alias("first")
-    of_fp = short.groupBy("fp").agg(first)
-    stay = of_fp.join(fingerprint_classes(short, max_bits), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    of_fp = short.join(marks, ROW).groupBy("fp").agg(first)
+    stay = of_fp.join(fingerprint_classes(marks, max_bits), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
     return rows.join(stay, ROW, "left_semi").select(*docs.columns)

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import texts
+from assayer.llm.common import texts, tidy
 
 TOXIC_ROWS, ORDINARY_ROWS = 2400, 5200
 FOLDS, HELD_OUT = 4, 2
@@ -184,5 +184,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(doc_id, held_out, score, predicted) of every row of docs."""
     rows = texts(docs, id_col, text_col)
     model = fit(*labelled_texts(rows, labels))
-    scored = rows.mapInArrow(_score(model), "doc_id long, score double")
+    scored = rows.mapInArrow(tidy(_score(model)), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(_remainder(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
