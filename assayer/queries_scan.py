@@ -273,6 +273,37 @@ def _(spark, sf):
     return detonation.distinct_limits(derive(spark, sf, RECORDS)).select(F.row_number().over(Window.orderBy("limit_text")).alias("n"))
 
 
+# ---- the same evidence as a stream ----
+
+def _traffic(spark, sf):
+    """The events as a stream of captured records."""
+    from assayer.queries import _events_stream
+
+    user = F.col("user_id").cast("string")
+    kind = F.element_at(F.array(F.lit("http"), F.lit("connect"), F.lit("blocked")), (F.col("event_id") % 3 + 1).cast("int"))
+    return _events_stream(spark, sf).select(F.concat(F.lit("run"), (F.col("user_id") % 20).cast("string")).alias("run_id"), F.lit("p").alias("package"), F.col("event_id").alias("seq"), kind.alias("kind"), F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("odd"), (F.col("user_id") % 3).cast("string"), F.lit(".test"))).otherwise("github.com").alias("host"),
+                                            F.concat(F.lit("http://h/?q="), F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("secret-of-run"), (F.col("user_id") % 20).cast("string"), F.lit(";"))).otherwise(user)).alias("url"), F.lit(None).cast("map<string,string>").alias("headers"), F.lit(None).cast("binary").alias("body"))
+
+
+@query("stream_run_state", """SELECT 'run' || (user_id % 20)::VARCHAR AS run_id, count(*) FILTER (WHERE event_id % 3 = 0) AS http, count(*) FILTER (WHERE event_id % 3 = 1) AS connect, count(*) FILTER (WHERE event_id % 3 = 2) AS blocked, max(event_id) AS last_seq,
+  coalesce(array_to_string(list_sort(list(DISTINCT 'odd' || (user_id % 3)::VARCHAR || '.test') FILTER (WHERE event_id % 5 = 0 AND event_id % 3 <> 2)), ','), '') AS hosts FROM events GROUP BY 1""")
+def _(spark, sf):
+    from assayer.queries import _checkpoint
+    from assayer.streaming.capture import drain, run_state
+
+    out = drain(run_state(_traffic(spark, sf)), "runs", _checkpoint(spark), "complete")
+    return out.select("run_id", "http", "connect", "blocked", "last_seq", F.array_join("unknown_hosts", ",").alias("hosts"))
+
+
+@query("stream_planted_values", "SELECT 'run' || (user_id % 20)::VARCHAR AS run_id, event_id AS seq, 'TOKEN' AS name FROM events WHERE event_id % 3 = 0 AND event_id % 7 = 0 AND user_id % 20 < 10")
+def _(spark, sf):
+    from assayer.queries import _checkpoint
+    from assayer.streaming.capture import drain, planted_values
+
+    planted = spark.range(10).select(F.concat(F.lit("run"), F.col("id").cast("string")).alias("run_id"), F.lit("TOKEN").alias("name"), F.concat(F.lit("secret-of-run"), F.col("id").cast("string"), F.lit(";")).alias("value"))
+    return drain(planted_values(_traffic(spark, sf), planted), "planted", _checkpoint(spark)).select("run_id", "seq", "name")
+
+
 # ---- reports ----
 
 def _shown(spark, sf):

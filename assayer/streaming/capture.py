@@ -29,6 +29,21 @@ def windowed(stream: DataFrame, keys: list[str], size: str = WINDOW, delay: str
     return rows.groupBy(F.window(ts, size).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), *keys, "n")
 
 
+def planted_values(capture: DataFrame, canaries: DataFrame) -> DataFrame:
+    """(run_id, package, seq, host, name) of requests that carry a planted value: a stream (or batch) of traffic joined with the table of values."""
+    from assayer.operators.detonation import leaks
+
+    return leaks(capture, canaries).select("run_id", "package", "seq", "host", "name")
+
+
+def run_state(capture: DataFrame) -> DataFrame:
+    """State of each run so far: records by kind, hosts outside the allow-list, last record; one row a run, updated as records come."""
+    host = F.when(F.col("kind") == "connect", F.col("host")).otherwise(host_only("host"))
+    unknown = F.col("kind").isin("http", "connect") & (host != "") & ~host.isin(*fixed.ALLOWED_HOSTS)
+    kinds = [F.count_if(F.col("kind") == k).alias(k) for k in ("http", "connect", "blocked")]
+    return capture.groupBy("run_id").agg(*kinds, F.array_sort(F.collect_set(F.when(unknown, host))).alias("unknown_hosts"), F.max("seq").alias("last_seq"))
+
+
 def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now and return its result as a table."""
     spark = stream.sparkSession
