@@ -62,7 +62,6 @@ def give_back() -> None:
     """Return what a Python worker has freed to the system: workers are reused, and the next stage counts what this one kept."""
     import pyarrow as pa
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
@@ -76,6 +75,7 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
+            gc.collect()
             give_back()
     return wrapped
 
