@@ -16,15 +16,50 @@ def haystack() -> Column:
     return F.concat_ws(" ", F.coalesce("url", F.lit("")), F.array_join(F.coalesce(F.map_values("headers"), F.array().cast("array<string>")), " "), F.make_valid_utf8(F.coalesce(F.col("body"), F.lit(b"")).cast("string")))
 
 
+#: Characters that encoded forms are made of; longest substring that meets planted values, and characters searched at a time.
+FORM, REACH, CHUNK = "[A-Za-z0-9+/=_%.~-]", 64, 4096
+#: Forms broadcast at most.
+BROADCAST_FORMS = 100_000
+
+
 def leaks(capture: DataFrame, canaries: DataFrame) -> DataFrame:
     """(capture row, canary name) of every request that carries a form of a planted value.
 
-    A run plants a handful of values, so its forms are one row and each request meets them once.
+    An equi-join, whatever the number of values of a run: forms meet the substrings of a haystack by their first characters,
+    2^k of them (REACH at most), and forms of FORM alone are only looked for inside stretches of such characters.  Equal
+    haystacks of a run are searched once.  A stream, which can't meet itself, is held against all values of the run.
     """
-    forms = canaries.select("run_id", F.struct("name", canary_forms("value").alias("forms")).alias("c")).groupBy("run_id").agg(F.collect_list("c").alias("planted"))
     sent = capture.where("kind = 'http'").withColumn("haystack", haystack())
-    met = F.transform(F.filter("planted", lambda c: F.exists(c["forms"], lambda f: F.col("haystack").contains(f))), lambda c: c["name"])
-    return sent.join(forms, "run_id").withColumn("name", F.explode(met)).drop("haystack", "planted")
+    if capture.isStreaming:
+        forms = canaries.select("run_id", F.struct("name", canary_forms("value").alias("forms")).alias("c")).groupBy("run_id").agg(F.collect_list("c").alias("planted"))
+        met = F.transform(F.filter("planted", lambda c: F.exists(c["forms"], lambda f: F.col("haystack").contains(f))), lambda c: c["name"])
+        return sent.join(forms, "run_id").withColumn("name", F.explode(met)).drop("haystack", "planted")
+    planted = canaries.groupBy("run_id", "name", "value").agg(F.count("*").alias("copies"))
+    forms = planted.select("*", F.explode(F.array_distinct(canary_forms("value"))).alias("form")).where("form IS NOT NULL").withColumn("n", F.length("form"))
+    width = F.when(F.col("n") > 0, F.least(F.lit(REACH), F.expr("shiftleft(1, length(bin(n)) - 1)"))).otherwise(0)
+    forms = forms.withColumn("width", width).withColumn("head", F.substring(F.col("form"), F.lit(1), F.col("width"))).withColumn("odd", ~F.col("form").rlike(f"^{FORM}*$"))
+    known = forms.agg(F.collect_set(F.struct("width", "odd")).alias("kinds"), F.max("n").alias("longest"), F.count("*").alias("rows")).first()
+
+    def stretches(width: int, odd: bool) -> Column:
+        """What starts at each place: up to 2 * width - 1 characters."""
+        where = rf"(?![\x{{DC00}}-\x{{DFFF}}])(?=((?s:.){{{width},{2 * width - 1}}}))" if odd else f"(?=({FORM}{{{width},{2 * width - 1}}}))"
+        found = F.regexp_extract_all("chunk", F.lit(where), F.lit(1)) if width else F.array(F.lit(""))
+        return F.transform(F.array_distinct(found), lambda t: F.struct(F.lit(width).alias("width"), F.lit(odd).alias("odd"), F.substring(t, F.lit(1), F.lit(width)).alias("head"), t.alias("tail")))
+
+    kinds = [stretches(k["width"], k["odd"]) for k in sorted(known["kinds"])]
+    key = F.sha2(F.encode("haystack", "UTF-8"), 256).alias("_hay")
+    starts = F.sequence(F.lit(1), F.greatest(F.length("haystack"), F.lit(1)), F.lit(CHUNK))
+    chunks = sent.select("run_id", key, F.explode(F.transform(starts, lambda i: F.substring(F.col("haystack"), i, F.lit(CHUNK + 2 * REACH)))).alias("chunk"))
+    tails = F.concat(*kinds) if kinds else F.array().cast("array<struct<width:int,odd:boolean,head:string,tail:string>>")
+    seen = chunks.select("run_id", "_hay", F.explode(tails).alias("t")).select("run_id", "_hay", "t.*")
+    met = seen.join(F.broadcast(forms) if known["rows"] <= BROADCAST_FORMS else forms, ["run_id", "width", "odd", "head"])
+    met = met.where(F.startswith("tail", F.substring(F.col("form"), F.lit(1), 2 * F.col("width") - 1)) | (F.col("width") == 0))
+    long = F.array_sort(F.collect_set(F.when(F.col("n") >= 2 * REACH, F.col("form"))))
+    met = met.groupBy("run_id", "_hay", "name", "value", "copies").agg(F.max(F.col("n") < 2 * REACH).alias("_sure"), long.alias("_long"))
+    out = sent.withColumn("_hay", key).join(met.select("run_id", "_hay", F.col("name").alias("_name"), "copies", "_sure", "_long").withColumnRenamed("copies", "_copies"), ["run_id", "_hay"])
+    if (known["longest"] or 0) >= 2 * REACH:
+        out = out.where(F.col("_sure") | F.exists("_long", lambda f: F.col("haystack").contains(f)))
+    return out.withColumn("name", F.explode(F.array_repeat("_name", F.col("_copies").cast("int")))).drop("haystack", "_hay", "_name", "_copies", "_sure", "_long")
 
 
 def _told(rows: DataFrame) -> DataFrame:

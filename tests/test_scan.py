@@ -171,3 +171,20 @@ def test_trace_files(spark, tmp_path):
     rows = evidence.trace_log(spark, str(tmp_path))
     assert [(r["run_id"], r["category"]) for r in detonation.trace_signals(rows).collect()] == [("r1", "sensitive-file-access")]
     assert detonation.trace_summary(rows).first()["processes"] == ["/bin/sh: sh -c x"]
+
+
+def test_planted_values_meet_requests_by_key(spark):
+    from assayer.functions.text import canary_forms
+
+    values = ["", "k", "ab:c", "tok", "é😀 secret value", "x" * 40, "0f" * 20, "a b" * 50, "9" * 64, "q/" * 70, None]
+    planted = spark.createDataFrame([(f"r{i % 2}", f"n{i % 4}", v) for i, v in enumerate(values)] + [("r0", "n2", "0f" * 20), ("r0", "n2", "0f" * 20)], "run_id string, name string, value string")
+    forms = [r[0] for r in planted.select(F.explode(canary_forms("value"))).where("col IS NOT NULL").distinct().collect()]
+    bodies = [p + f + q for f in forms for p, q in (("", ""), ("=", "\n"), ("w " * 2047, "z"))] + [f[1:] for f in forms] + ["", None]
+    sent = spark.createDataFrame([(f"r{i % 2}", i, "connect" if i % 11 == 5 else "http", b, {"h": "0f" * 20} if i % 17 == 3 else None) for i, b in enumerate(bodies + bodies[:9])], "run_id string, seq long, kind string, url string, headers map<string,string>").withColumn("body", F.lit(None).cast("binary"))
+    row = F.struct("run_id", F.monotonically_increasing_id().alias("id"), "name", canary_forms("value").alias("forms"))
+    hay = sent.where("kind = 'http'").withColumn("hay", detonation.haystack())
+    want = hay.join(planted.select(row.alias("c")), (F.col("c.run_id") == F.col("run_id")) & F.exists("c.forms", lambda f: F.col("hay").contains(f))).select("seq", "c.name")
+    got = detonation.leaks(sent, planted)
+    assert sorted(map(tuple, got.select("seq", "name").collect())) == sorted(map(tuple, want.collect())) and got.columns == [*sent.columns, "name"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join" in line and "head" in line for line in plan.splitlines())  # not each request with each value of its run
