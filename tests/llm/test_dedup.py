@@ -169,3 +169,23 @@ def test_anchors_cover_every_pair():
 def test_threshold_is_checked(docs, bits):
     with pytest.raises(ValueError):
         simhash.simhash_components(docs, max_bits=bits)
+
+
+def test_pieces_stand_together_and_side_by_side_ranges_are_one(monkeypatch):
+    rng = np.random.default_rng(4)
+    anchor, content = rng.integers(0, 30, 2000).astype(np.uint64), rng.integers(0, 4, 2000).astype(np.uint64)  # equal upper halves of the hashes
+    for extra in (content, content << np.uint64(60)):
+        order = suffix_dedup._together(anchor, extra)
+        first, size = suffix_dedup._groups(anchor[order], extra[order])
+        assert len(first) == len(set(zip(anchor.tolist(), extra.tolist()))) and size.sum() == 2000 and sorted(order.tolist()) == list(range(2000))
+    text = bytes(rng.integers(97, 123, 3000, np.uint8)).decode()
+    import pyarrow as pa
+
+    rows = pa.table({"shard": [0, 0], "doc_id": [1, 2], "text": [text, text]})
+    told = pa.Table.from_batches(list(suffix_dedup._send_hashes(1, 1, 50)(rows.select(["doc_id", "text"]).to_batches())))
+    replies = [t for k in (0, 1) if (t := told.filter(pa.compute.equal(told.column("kind"), k))).num_rows]
+    replies = pa.concat_tables([suffix_dedup._reply(1)((pa.scalar(k),), t) for k, t in enumerate(replies)])
+    sent = suffix_dedup._send_pieces(1, 1, 1, 50)((pa.scalar(0),), rows, replies)
+    ranges = [suffix_dedup._unpack(r["blob"], "<i8", "<i8", "<i8") for r in sent.to_pylist() if r["kind"] == 2]
+    assert sum(len(own) for own, _, _ in ranges) == 1  # the whole copy, not one range a piece
+    assert [(int(p[0]), int(n[0])) for _, p, n in ranges if len(p)] == [(0, 3000 - 49)]
